@@ -10,8 +10,10 @@ from sparkweave.storage import materialize
 _PART = "__part"
 
 
-def prefix_sum(df: DataFrame, order: list[str | Column], value: str, out: str, inclusive: bool = False, reverse: bool = False) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over all rows before each (exclusive), or up to it (inclusive).
+def prefix_sum(
+    df: DataFrame, order: list[str | Column], sums: dict[str, str], inclusive: bool = False, reverse: bool = False
+) -> DataFrame:
+    """``df`` with a column for each of ``sums`` (out: value): the sum of value over all rows before each, or up to it (inclusive).
 
     Rows are dealt by ranges of ``order`` and summed in each range; the sums of
     the ranges before (one row a range) are added to running sums inside it.
@@ -19,23 +21,21 @@ def prefix_sum(df: DataFrame, order: list[str | Column], value: str, out: str, i
     Rows that tie in ``order`` are taken in some order, so give keys that tell
     rows apart. No rows give no rows.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    if reverse:
-        keys = [k.desc() for k in keys]
-    names = [f"__key{i}" for i in range(len(order))]
     plain = [F.col(c) if isinstance(c, str) else c for c in order]
+    names = [f"__key{i}" for i in range(len(order))]
     rows = df.select("*", *(k.alias(n) for k, n in zip(plain, names, strict=True)))
     ranges = [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
     rows = materialize(rows.repartitionByRange(*ranges).withColumn(_PART, F.spark_partition_id()), "ranges")
-    kind = "double" if dict(df.dtypes)[value] in ("double", "float") else "long"
-    number = F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind))
-    sums = rows.groupBy(_PART).agg(F.sum(number).alias("__sum"))
+    types = dict(df.dtypes)
+    kinds = {out: "double" if types[value] in ("double", "float") else "long" for out, value in sums.items()}
+    numbers = {out: F.coalesce(F.col(value).cast(kinds[out]), F.lit(0).cast(kinds[out])) for out, value in sums.items()}
+    totals = rows.groupBy(_PART).agg(*(F.sum(numbers[out]).alias(f"__sum_{out}") for out in sums))
     ahead = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(_PART, F.coalesce(F.sum("__sum").over(ahead), F.lit(0).cast(kind)).alias("__before"))
+    before = totals.select(_PART, *(F.coalesce(F.sum(f"__sum_{out}").over(ahead), F.lit(0).cast(kinds[out])).alias(f"__before_{out}") for out in sums))
     inside = Window.partitionBy(_PART).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    within = {f"__in_{out}": F.coalesce(F.sum(numbers[out]).over(inside), F.lit(0).cast(kinds[out])) for out in sums}
     return (
-        rows.withColumn("__inside", F.coalesce(F.sum(number).over(inside), F.lit(0).cast(kind)))
+        rows.select("*", *(c.alias(n) for n, c in within.items()))
         .join(F.broadcast(before), _PART)  # one row a range
-        .withColumn(out, F.col("__before") + F.col("__inside"))
-        .drop(_PART, "__before", "__inside", *names)
+        .select(*df.columns, *((F.col(f"__before_{out}") + F.col(f"__in_{out}")).alias(out) for out in sums))
     )
