@@ -32,7 +32,7 @@ from sparkweave.storage import materialize, new_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids that the rolling hash sees, and the sizes of chunks: the hash cuts once in MEAN ids, after MIN and at MAX at the latest.
-SEEN, MIN, MEAN, MAX = 16, 64, 256, 4096
+SEEN, MIN, MEAN, MAX = 16, 128, 512, 8192
 DIGEST = 16
 #: Documents under one root of the manifest.
 PART = 1024
@@ -51,11 +51,11 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
-    """A well mixed 64-bit number for each id."""
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A mixed 32-bit number for each id."""
+    x = ids.astype(np.uint32) + np.uint32(0x9E3779B9)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -65,9 +65,11 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     gear = _gear(ids)
     rolling = gear.copy()
-    for age in range(1, SEEN):
-        rolling[age:] += gear[:-age] << np.uint64(age)
-    marks = (np.flatnonzero(rolling >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1).tolist()
+    age = 1
+    while age < SEEN:  # the sum over 2k ids is the sum over k, and that from k ids before, k bits older
+        rolling[age:] += rolling[:-age] << np.uint32(age)
+        age *= 2
+    marks = (np.flatnonzero(rolling >> np.uint32(16) & np.uint32(MEAN - 1) == 0) + 1).tolist()
     out, last = [], 0
     for mark in [*marks, n]:
         while mark - last > MAX:
@@ -134,6 +136,18 @@ def _tokenized(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows dealt by address the first of each; every task that made chunks sends an address about once, so none is hot."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for i, address in enumerate(batch.column(0).to_pylist()):
+            if address not in seen:
+                seen.add(address)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> None:
     """Encode all texts and write them as a store at ``path``.
 
@@ -144,13 +158,13 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     width = 2 if encoder(tokenizer).size <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     both = materialize(_tokenized(rows, tokenizer, width), "tokenized")
-    chunks = both.where("kind = 1").select("address", "n_ids", "payload").dropDuplicates(["address"])
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks = both.where("kind = 1").select("address", "n_ids", "payload")
+    chunks.repartition("address").mapInArrow(_first_of_each, chunks.schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = both.where("kind = 0").select(
         "doc_id", F.col("n_ids").alias("n_tokens"), F.col("payload").alias("root"), F.col("address").alias("addresses")
     )
-    started = prefix_sum(recipes, ["doc_id", "root", "n_tokens"], "n_tokens", "start")
-    numbered = prefix_sum(started.withColumn("one", F.lit(1)), ["start", "doc_id", "root"], "one", "number").drop("one")
+    sums = {"start": "n_tokens", "number": "one"}
+    numbered = prefix_sum(recipes.withColumn("one", F.lit(1)), ["doc_id", "root", "n_tokens"], sums).drop("one")
     ordered = numbered.repartitionByRange("number").sortWithinPartitions("number")
     ordered.select("doc_id", "start", "n_tokens", "root", "addresses", "number").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(docs.sparkSession.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")

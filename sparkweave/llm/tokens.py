@@ -17,7 +17,7 @@ from array import array
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; then it starts anew.
+#: Pieces after which the memory of a worker begins a new generation; the last one is still asked.
 REMEMBERED = 400_000
 #: ASCII without the separators \x1c-\x1f, Latin letters, and common punctuation: here Python's classes and the library's are the same.
 _SAFE = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ňŊ-ſ‐-‧‰-›€]")
@@ -38,16 +38,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """Ids of pieces, by piece; what is missing is encoded by the library's model."""
+    """Ids of pieces, by piece; what neither this nor the last generation has is encoded by the library's model."""
 
     def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
+        self.model, self.letters, self.last = model, _byte_letters(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        self[piece] = out = _bytes([t.id for t in found])
+        out = self.last.get(piece)
+        if out is None:
+            letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            out = _bytes([t.id for t in self.model.tokenize(letters)])
+        self[piece] = out
         return out
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.last = dict(self)
+            self.clear()
+
 
 def _bytes(ids: list[int]) -> bytes:
     out = array("I", ids)
@@ -79,8 +87,7 @@ class Encoder:
         """Ids of a text, without any that the tokenizer would add."""
         if self.pieces is None or _SAFE.search(text) or any(s in text for s in self.special):
             return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        self.memory.age()
         return b"".join(map(self.memory.__getitem__, self.pieces.findall(text.lower() if self.lower else text)))
 
 
