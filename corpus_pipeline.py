@@ -1,19 +1,50 @@
-"""A corpus pipeline from five of the operators. ``run`` applies its stages to ``documents``."""
+"""A corpus pipeline from five of the operators. ``run`` applies its stages to ``documents``.
+
+Each stage takes what the one before it kept: documents that the quality
+classifier rejects go; lines that repeat earlier ones are cut; one document of
+each group of near-duplicates stays; documents with a passage of the benchmark
+go; what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkweave.llm import simhash
+from sparkweave.llm import decontaminate, linededup, packing, quality, simhash
 from sparkweave.storage import materialize, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.cleaned(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
 
+#: A learned classifier and a tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -229,23 +229,39 @@ def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
+def _scores(batch: pa.RecordBatch, column: int, model: Model | None) -> np.ndarray:
+    found = [np.full(0, 0.5)]
+    for at in range(0, batch.num_rows, 256):
+        texts = [t.as_py() or b"" for t in batch.column(column).slice(at, 256).cast(pa.binary())]
+        for group in _groups(texts):
+            found.append(np.full(len(group), 0.5) if model is None else model.score(*passages(group)))
+    return np.concatenate(found)
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row, from its whole text alone. Without a model all score 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.full(0, 0.5)]
-            for at in range(0, batch.num_rows, 256):
-                texts = [t.as_py() or b"" for t in batch.column(1).slice(at, 256).cast(pa.binary())]
-                for group in _groups(texts):
-                    found.append(np.full(len(group), 0.5) if model is None else model.score(*passages(group)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found), pa.float64())], names=["doc_id", "score"])
+            found = pa.array(_scores(batch, 1, model), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "score"])
 
     kind = docs.select(id_col).schema[0].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns and without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, at, model) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     return train(sample(docs, labels, label, FOLDS, FOLD, MOST, id_col, text_col))
 

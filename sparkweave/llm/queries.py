@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import chat, decontaminate, licenses, packing, rules, simhash, store
+from sparkweave.llm import chat, decontaminate, licenses, linededup, packing, quality, rules, simhash, store, toxicity
 from sparkweave.storage import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: A conversation that holds strings which older templates take for control.
 _CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -60,6 +64,14 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -70,12 +82,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_store": op7_token_store,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 

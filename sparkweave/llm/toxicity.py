@@ -30,12 +30,14 @@ FOLDS, FOLD = 5, 0
 MOST = 4000
 WINDOW = 96
 LEVEL = 12
-ORDINARY_SIZE, TOXIC_SIZE = 1 << 16, 1 << 11
+ORDINARY_SIZE, TOXIC_SIZE = 1 << 16, 1 << 10
 #: Bytes of the samples that the ordinary dictionary is trained on, at most.
 ORDINARY_SAMPLES = 1 << 23
-GRAM = 5
-#: A gram is toxic if its share of toxic documents is so many times that of ordinary ones.
-RATIO = 20
+GRAMS = (5, 8)
+#: A gram (or word) is toxic if its share of toxic documents is so many times that of ordinary ones.
+RATIO = 100
+#: And it stands in so many toxic documents, and in one of a hundred of them.
+LEAST = 5
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -59,8 +61,9 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def _grams(word: bytes) -> list[bytes]:
-    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+def _grams(word: bytes) -> list[tuple[int, bytes]]:
+    """(place, gram) of all grams of a word, and the word itself."""
+    return [(0, word), *((i, word[i : i + size]) for size in GRAMS for i in range(len(word) - size + 1))]
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -85,22 +88,20 @@ def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     in_toxic: Counter[bytes] = Counter()
     in_ordinary: Counter[bytes] = Counter()
     for text in toxic:
-        in_toxic.update({g for w in set(_words(text)) for g in _grams(w)})
+        in_toxic.update({g for w in set(_words(text)) for _, g in _grams(w)})
     for text in ordinary:
-        in_ordinary.update({g for w in set(_words(text)) for g in _grams(w) if g in in_toxic})
-    least = max(2, len(toxic) // 100)
+        in_ordinary.update({g for w in set(_words(text)) for _, g in _grams(w) if g in in_toxic})
+    least = max(LEAST, len(toxic) // 100)
     odds = RATIO * len(toxic) / max(1, len(ordinary))
     toxic_grams = {g for g, n in in_toxic.items() if n >= least and n > odds * (in_ordinary[g] + 0.5)}
     runs: Counter[bytes] = Counter()
     for text in toxic:
         for word in _words(text):
-            marks = [g in toxic_grams for g in _grams(word)]
-            if not any(marks):
-                continue
-            first = marks.index(True)
-            last = len(marks) - marks[::-1].index(True) + GRAM - 1
-            whole = first <= 1 and last >= len(word) - 2
-            runs[word if whole else word[first:last]] += 1
+            spans = [(i, i + len(g)) for i, g in _grams(word) if g in toxic_grams]
+            if spans:
+                first, last = min(a for a, _ in spans), max(b for _, b in spans)
+                whole = first <= 1 and last >= len(word) - 2
+                runs[word if whole else word[first:last]] += 1
     out = b""
     for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
         if n < least or len(out) + len(run) > TOXIC_SIZE:
@@ -173,27 +174,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str, int, float]]) -> Model | None:
     """From (text, label, weight) rows; None unless both labels are there.
 
-    Thresholds are calibrated on distances to dictionaries that the document
-    had no part in: of two halves each is measured by the other's dictionaries.
+    Two of three documents make the dictionaries; thresholds are calibrated on
+    the distances of the others, which had no part in them.
     """
-    texts = [(normal(t), y) for t, y, _ in rows]
-    weight = np.array([w for _, _, w in rows])
-    if len({y for _, y in texts}) < 2:
+    if len({y for _, y, _ in rows}) < 2:
         return None
-
-    def dictionaries(part: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
-        plain = [t for t, y in part if not y]
-        return ordinary_dictionary(plain), toxic_dictionary([t for t, y in part if y], plain)
-
-    x = np.zeros((len(texts), 11))
-    for half in (0, 1):
-        distance = Distance(*dictionaries(texts[1 - half :: 2]))
-        for i in range(half, len(texts), 2):
-            x[i] = features(distance.saved(texts[i][0]))
-    y = np.array([y for _, y in texts], dtype=np.float64)
+    texts = [(normal(t), y, w) for t, y, w in rows]
+    made = [x for i, x in enumerate(texts) if i % 3]
+    kept = [x for i, x in enumerate(texts) if i % 3 == 0]
+    if len({y for _, y, _ in kept}) < 2 or len({y for _, y, _ in made}) < 2:
+        made = kept = texts
+    plain = [t for t, y, _ in made if not y]
+    ordinary, toxic = ordinary_dictionary(plain), toxic_dictionary([t for t, y, _ in made if y], plain)
+    distance = Distance(ordinary, toxic)
+    x = np.array([features(distance.saved(t)) for t, _, _ in kept])
+    y = np.array([y for _, y, _ in kept], dtype=np.float64)
+    weight = np.array([w for _, _, w in kept])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic(np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1), y, weight / weight.mean())
-    return Model(*dictionaries(texts), mean, scale, weights)
+    return Model(ordinary, toxic, mean, scale, weights)
 
 
 _DISTANCES: dict[bytes, Distance] = {}
