@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -45,3 +45,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
+    """``df`` as a table bucketed by ``key``, and the values of ``metrics``, taken while it is written.
+
+    Joins and aggregates on the key read it without a shuffle. The number of
+    buckets is that of shuffle partitions, so whatever is joined lines up.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    seen = Observation()
+    if metrics:
+        df = df.observe(seen, *(c.alias(k) for k, c in metrics.items()))
+    path = new_path(spark, label)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name), seen.get if metrics else {}
