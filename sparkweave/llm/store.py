@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave.llm.tokens import encoder
-from sparkweave.operators.scan import prefix_sum
+from sparkweave.operators.scan import prefix_scan
 from sparkweave.storage import materialize, new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -164,7 +164,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         "doc_id", F.col("n_ids").alias("n_tokens"), F.col("payload").alias("root"), F.col("address").alias("addresses")
     )
     sums = {"start": "n_tokens", "number": "one"}
-    numbered = prefix_sum(recipes.withColumn("one", F.lit(1)), ["doc_id", "root", "n_tokens"], sums).drop("one")
+    numbered = prefix_scan(recipes.withColumn("one", F.lit(1)), ["doc_id", "root", "n_tokens"], sums).drop("one")
     ordered = numbered.repartitionByRange("number").sortWithinPartitions("number")
     ordered.select("doc_id", "start", "n_tokens", "root", "addresses", "number").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(docs.sparkSession.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
