@@ -104,8 +104,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.append(cut, len(data)))
     kinds = np.bincount(np.repeat(np.arange(n) * CLASSES, lengths) + _ASCII[data], minlength=n * CLASSES).reshape(n, CLASSES)
     rough = _COARSE[data]
-    at_pair = np.repeat(np.arange(n) * (ROUGH * ROUGH), lengths)[1:]
-    pairs = np.bincount(at_pair + (rough[:-1] * ROUGH + rough[1:]), minlength=n * ROUGH * ROUGH).reshape(n, -1)
+    left = np.concatenate([_COARSE[[10]], rough[:-1]])  # a line break stands before each text, the first too
+    at_pair = np.repeat(np.arange(n) * (ROUGH * ROUGH), lengths)
+    pairs = np.bincount(at_pair + (left * ROUGH + rough), minlength=n * ROUGH * ROUGH).reshape(n, -1)
     in_passage = np.searchsorted(cut, starts, side="right") - 1
     words = np.bincount(in_passage, minlength=n)
     hashes = _word_hashes(data, starts, ends)
