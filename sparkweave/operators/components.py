@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.storage import materialize
+from sparkweave.storage import discard, materialize
 
 
 def star_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -42,4 +42,6 @@ def star_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             .where("hi <> lo")
             .unionByName(root.select("hi", F.col("m").alias("lo")))
         )
-        links = materialize(small.distinct(), "links")
+        after = materialize(small.distinct(), "links")
+        discard(links)
+        links = after

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ DAMP = 0.85
 
 
 def _distances(result: Result) -> Result:
-    return Result(result.values.withColumnRenamed("value", "dist"), result.rounds, result.converged)
+    return replace(result, values=result.values.withColumnRenamed("value", "dist"))
 
 
 def _from_root(root: int) -> dict:
@@ -46,7 +46,7 @@ def min_label_propagation(graph: Graph, strategy: str = "auto") -> Result:
     """(id, label): the smallest id among a vertex and those that reach it along directed edges."""
     spread = VertexProgram(F.col("id"), F.lit(True), message=lambda value, level: value)
     found = run_vertex_program(graph, spread, strategy=strategy)
-    return Result(found.values.withColumnRenamed("value", "label"), found.rounds, found.converged)
+    return replace(found, values=found.values.withColumnRenamed("value", "label"))
 
 
 def weakly_connected_components(graph: Graph) -> DataFrame:

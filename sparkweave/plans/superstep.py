@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.graph import Graph
-from sparkweave.storage import bucketed
+from sparkweave.storage import bucketed, discard
 
 #: A frontier under n / PUSH vertices pushes: it is copied to the edges, which then don't move.
 PUSH = 20
@@ -38,6 +38,8 @@ class Result:
     values: DataFrame
     rounds: int
     converged: bool
+    #: For each round how many vertices were active, and whether they were pushed.
+    trace: tuple[tuple[int, bool], ...] = ()
 
 
 def run_vertex_program(graph: Graph, program: VertexProgram, max_rounds: int | None = None, strategy: str = "auto") -> Result:
@@ -53,18 +55,22 @@ def run_vertex_program(graph: Graph, program: VertexProgram, max_rounds: int | N
     start = graph.vertices.select("id", program.init.alias("value")).withColumn("changed", program.active)
     state, seen = bucketed(start, "id", "state", changed)
     edges, _ = bucketed(graph.edges, "src", "edges")
-    rounds = 0
-    while seen["changed"] and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
+    trace: list[tuple[int, bool]] = []
+    while seen["changed"] and (max_rounds is None or len(trace) < max_rounds):
         frontier = state.where("changed").select(F.col("id").alias("src"), "value")
         small = seen["changed"] < max(seen["n"] // PUSH, 1) if strategy == "auto" else strategy == "push"
-        if small and seen["changed"] <= BROADCAST_ROWS:
+        push = small and seen["changed"] <= BROADCAST_ROWS
+        trace.append((seen["changed"], push))
+        if push:
             frontier = F.broadcast(frontier)
-        sent = edges.join(frontier, "src").withColumn("message", program.message(F.col("value"), F.lit(rounds).cast("long")))
+        sent = edges.join(frontier, "src").withColumn("message", program.message(F.col("value"), F.lit(len(trace)).cast("long")))
         merged = sent.groupBy(F.col("dst").alias("id")).agg(_MERGES[program.merge]("message").alias("merged"))
         better = F.col("merged").isNotNull() & program.improves(F.col("value"), F.col("merged"))
         after = state.join(merged, "id", "left").select(
             "id", F.when(better, F.col("merged")).otherwise(F.col("value")).alias("value"), F.coalesce(better, F.lit(False)).alias("changed")
         )
+        last = state
         state, seen = bucketed(after, "id", "state", changed)
-    return Result(state.select("id", "value"), rounds, not seen["changed"])
+        discard(last)
+    discard(edges)
+    return Result(state.select("id", "value"), len(trace), not seen["changed"], tuple(trace))

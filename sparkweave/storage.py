@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
+#: By a frame's id: the frame (so that the id stays its own), its folder, and its table's name if it is one.
+_STORED: dict[int, tuple[DataFrame, str, str | None]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,7 +36,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(stored)] = (stored, path, None)
+    return stored
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -61,4 +65,14 @@ def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | N
         df = df.observe(seen, *(c.alias(k) for k, c in metrics.items()))
     path = new_path(spark, label)
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name), seen.get if metrics else {}
+    stored = spark.table(name)
+    _STORED[id(stored)] = (stored, path, name)
+    return stored, seen.get if metrics else {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` or ``bucketed`` wrote for ``df``, once nothing reads it any more."""
+    _, path, name = _STORED.pop(id(df))
+    if name:
+        df.sparkSession.sql(f"DROP TABLE {name}")
+    delete_path(df.sparkSession, path)

@@ -198,5 +198,12 @@ def test_scalars(spark):
         df.select(scalars.require(F.col("id") < 5, "too large")).collect()
 
 
+def test_trace(spark):
+    star = graph(spark, [(0, i) for i in range(1, 100)] + [(5, 0)], 200)
+    found = traversal.bfs(star, 0)
+    assert found.rounds == 2 and found.trace == ((1, True), (99, False))
+    assert [p for _, p in traversal.bfs(star, 0, strategy="pull").trace] == [False, False]
+
+
 def test_root(spark):
     assert root_of(graph(spark, [(3, 1), (3, 2), (2, 1), (2, 0), (1, 0)], 4)) == 2

@@ -4,6 +4,7 @@ import gzip
 
 import pytest
 
+from sparkweave.config import load_settings
 from sparkweave.functions.results import mean_results, merge_json, select_results
 from sparkweave.graph import Graph
 from sparkweave.sources.adjacency import catalog, from_one_side, read_adjacency, write_adjacency
@@ -90,3 +91,9 @@ def test_results(spark, tmp_path):
     path = str(tmp_path / "r.json")
     merge_json(path, "strong", "bfs", "g", 1, 2.0)
     assert merge_json(path, "strong", "bfs", "g", 2, 1.0) == {"strong": {"bfs": {"g": {"1": 2.0, "2": 1.0}}}}
+
+
+def test_settings(tmp_path):
+    (tmp_path / "s.ini").write_text("[paths]\ngraphs = /data/g\n[grid]\nsizes = 10, 20\ncopies = 2\n")
+    found = load_settings(str(tmp_path / "s.ini"))
+    assert found.paths == {"graphs": "/data/g"} and found.sizes == (10, 20) and found.copies == 2 and found.ratios == (1.0, 10.0)
