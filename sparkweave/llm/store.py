@@ -32,7 +32,7 @@ from sparkweave.storage import materialize, new_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids that the rolling hash sees, and the sizes of chunks: the hash cuts once in MEAN ids, after MIN and at MAX at the latest.
-SEEN, MIN, MEAN, MAX = 16, 128, 512, 8192
+SEEN, MIN, MEAN, MAX = 16, 256, 1024, 16384
 DIGEST = 16
 #: Documents under one root of the manifest.
 PART = 1024
@@ -271,7 +271,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     first = manifest.select("width").first()
     if first is None:
         return recipes.select("doc_id", "start", "n_tokens", F.lit(0).cast("long").alias("ids_crc32"))
-    chunks = materialize(_checked_chunks(spark.read.parquet(f"{path}/chunks"), first["width"]), "checked")
+    chunks = _checked_chunks(spark.read.parquet(f"{path}/chunks"), first["width"])
     wrong = (
         _manifest(recipes)
         .withColumnsRenamed({"root": "r", "n_docs": "d", "n_tokens": "t"})

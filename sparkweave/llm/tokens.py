@@ -18,14 +18,16 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Pieces after which the memory of a worker begins a new generation; the last one is still asked.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: ASCII without the separators \x1c-\x1f, Latin letters, and common punctuation: here Python's classes and the library's are the same.
 _SAFE = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ňŊ-ſ‐-‧‰-›€]")
-_LETTER, _DIGIT, _OTHER = r"[^\W\d_]", r"\d", r"(?:[^\s\w]|_)"
-#: By the pattern that a tokenizer file names: how its pieces are found in safe text.
+#: The letters and white space that safe text can have, as plain ranges, which match much faster than character categories.
+_LETTERS, _SPACES = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ", r" \t-\r"
+_OTHER = f"[^{_SPACES}{_LETTERS}0-9]"
+#: By the pattern that a tokenizer file names: how its pieces are found in safe text. Alternatives that begin with different characters are tried by frequency.
 _PIECES = {
-    "bytes": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_DIGIT}+| ?{_OTHER}+|\s+(?!\S)|\s+"),
-    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_DIGIT}|{_OTHER}+"),
+    "bytes": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?{_OTHER}+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"),
+    "words": re.compile(rf"[{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|{_OTHER}+"),
 }
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
