@@ -38,8 +38,7 @@ def sssp(graph: Graph, root: int, max_rounds: int | None = None, strategy: str =
     with a null weight can't be used.
     """
     relax = VertexProgram(**_from_root(root), message=lambda value, level: value + F.col("weight"))
-    limit = graph.num_nodes() if max_rounds is None else max_rounds
-    return _distances(run_vertex_program(graph, relax, limit, strategy))
+    return _distances(run_vertex_program(graph, relax, -1 if max_rounds is None else max_rounds, strategy))
 
 
 def min_label_propagation(graph: Graph, strategy: str = "auto") -> Result:
@@ -82,11 +81,11 @@ def pagerank(graph: Graph, iters: int = 10, damp: float = DAMP, measure: bool =
         score = F.lit((1 - damp) / n) + F.lit(damp) * F.coalesce("sum", F.lit(0.0))
         if measure:
             after = ranks.withColumnRenamed("score", "old").join(sums, "id", "left").select("id", score.alias("score"), "old")
-            ranks, change = bucketed(after, "id", "ranks", {"delta": F.sum(F.abs(F.col("score") - F.col("old")))})
+            ranks, change = bucketed(after, "id", "ranks", {"delta": F.sum(F.abs(F.col("score") - F.col("old")))}, placed=True)
             ranks = ranks.select("id", "score")
             deltas.append(change["delta"])
         else:
             ranks = vertices.join(sums, "id", "left").select("id", score.alias("score"))
             if i % 5 == 4 and i + 1 < iters:
-                ranks, _ = bucketed(ranks, "id", "ranks")
+                ranks, _ = bucketed(ranks, "id", "ranks", placed=True)
     return Ranks(ranks if measure else materialize(ranks, "ranks"), deltas)

@@ -50,11 +50,14 @@ def run_vertex_program(graph: Graph, program: VertexProgram, max_rounds: int | N
     and writes it once to shared storage; the number of changed vertices comes
     with the write. ``strategy`` is push, pull, or auto (by the frontier's size);
     it decides how the frontier reaches the edges and never what comes out.
+    ``max_rounds`` of -1 stands for the number of vertices.
     """
     changed = {"changed": F.count_if("changed"), "n": F.count("*")}
     start = graph.vertices.select("id", program.init.alias("value")).withColumn("changed", program.active)
     state, seen = bucketed(start, "id", "state", changed)
     edges, _ = bucketed(graph.edges, "src", "edges")
+    if max_rounds == -1:
+        max_rounds = seen["n"]
     trace: list[tuple[int, bool]] = []
     while seen["changed"] and (max_rounds is None or len(trace) < max_rounds):
         frontier = state.where("changed").select(F.col("id").alias("src"), "value")
@@ -70,7 +73,7 @@ def run_vertex_program(graph: Graph, program: VertexProgram, max_rounds: int | N
             "id", F.when(better, F.col("merged")).otherwise(F.col("value")).alias("value"), F.coalesce(better, F.lit(False)).alias("changed")
         )
         last = state
-        state, seen = bucketed(after, "id", "state", changed)
+        state, seen = bucketed(after, "id", "state", changed, placed=True)
         discard(last)
     discard(edges)
     return Result(state.select("id", "value"), len(trace), not seen["changed"], tuple(trace))

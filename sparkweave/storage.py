@@ -51,11 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
+def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | None = None, placed: bool = False) -> tuple[DataFrame, dict]:
     """``df`` as a table bucketed by ``key``, and the values of ``metrics``, taken while it is written.
 
     Joins and aggregates on the key read it without a shuffle. The number of
-    buckets is that of shuffle partitions, so whatever is joined lines up.
+    buckets is that of shuffle partitions, so whatever is joined lines up. A
+    frame that a join with such a table has ``placed`` by the key already isn't
+    shuffled again: each of its tasks holds whole buckets.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -64,7 +66,8 @@ def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | N
     if metrics:
         df = df.observe(seen, *(c.alias(k) for k, c in metrics.items()))
     path = new_path(spark, label)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    dealt = df if placed else df.repartition(n, key)
+    dealt.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
     _STORED[id(stored)] = (stored, path, name)
     return stored, seen.get if metrics else {}
