@@ -116,16 +116,18 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows: dict[str, list] = {"k1": [], "k2": [], "first": [], "last": [], "data": []}
-            for text, wanted in zip(part.column(0).cast(pa.binary()), part.column(1), strict=True):
+            row, first, last, data = [], [], [], []
+            for i, (text, wanted) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(3), strict=True)):
                 lines = (text.as_py() or b"").split(b"\n")
                 for w in wanted.as_py():
-                    for k in ("k1", "k2", "first", "last"):
-                        rows[k].append(w[k])
-                    rows["data"].append(b"\n".join(lines[w["first"] + w["shift"] : w["last"] + w["shift"]]))
+                    row.append(i)
+                    first.append(w["first"])
+                    last.append(w["last"])
+                    data.append(b"\n".join(lines[w["first"] : w["last"]]))
+            keys = [part.column(c).take(pa.array(row, pa.int64())) for c in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[k], pa.int64()) for k in ("k1", "k2")), *(pa.array(rows[k], pa.int32()) for k in ("first", "last")), pa.array(rows["data"], pa.binary())],
-                names=list(rows),
+                [*keys, pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(data, pa.binary())],
+                names=["o1", "o2", "o_first", "o_last", "data"],
             )
 
 
@@ -159,22 +161,22 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, carried: Colum
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in longs)])
     places = materialize(keyed.select("doc_id", "k1", "k2", "text").mapInArrow(_places, schema), "chunks")
     segments = materialize(_segments(places), "segments")
-    # A document that thousands repeat is asked for by 64 rows at most.
-    wanted = segments.groupBy("o1", "o2", F.pmod(F.xxhash64("k1", "k2"), F.lit(64)).alias("part")).agg(
-        F.collect_set(F.struct("k1", "k2", "first", "last", "shift")).alias("wanted")
-    )
-    data = (
-        keyed.select("k1", "k2", "text")
-        .join(wanted, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
-        .select("text", "wanted")
-        .mapInArrow(_cut_out, "k1 long, k2 long, first int, last int, data binary")
+    # What is repeated is cut out of its first document once, however many repeat it, and then joined to those that do.
+    source = [F.col("o1"), F.col("o2"), (F.col("first") + F.col("shift")).alias("o_first"), (F.col("last") + F.col("shift")).alias("o_last")]
+    wanted = segments.select(*source).distinct().groupBy("o1", "o2").agg(
+        F.collect_list(F.struct(F.col("o_first").alias("first"), F.col("o_last").alias("last"))).alias("wanted")
     )
-    found = data.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "data")).alias("found"))
+    texts = keyed.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), "text").join(wanted.hint("merge"), ["o1", "o2"])  # no side has a bound, so none is copied
+    data = texts.select("o1", "o2", "text", "wanted").mapInArrow(_cut_out, "o1 long, o2 long, o_first int, o_last int, data binary")
+    data = materialize(data.dropDuplicates(["o1", "o2", "o_first", "o_last"]), "repeated")
+    # Written, so that the join stands alone and what a hot passage's thousands of places ask for can be split.
+    repeats = segments.select("k1", "k2", "first", "last", *source).join(data.hint("merge"), ["o1", "o2", "o_first", "o_last"])
+    found = repeats.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", "data")).alias("found"))
     out = T.StructType(
         [T.StructField("row", keyed.schema["row"].dataType), T.StructField("text", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "removed_words")]
     )
-    return keyed.join(found, ["k1", "k2"], "left").select("row", "text", "found").mapInArrow(_removed, out)
+    return keyed.join(found.hint("merge"), ["k1", "k2"], "left").select("row", "text", "found").mapInArrow(_removed, out)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
