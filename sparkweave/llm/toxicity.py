@@ -30,7 +30,7 @@ FOLDS, FOLD = 5, 0
 MOST = 4000
 WINDOW = 96
 LEVEL = 12
-ORDINARY_SIZE, TOXIC_SIZE = 1 << 16, 1 << 10
+ORDINARY_SIZE, TOXIC_SIZE = 1 << 15, 1 << 10
 #: Bytes of the samples that the ordinary dictionary is trained on, at most.
 ORDINARY_SAMPLES = 1 << 23
 GRAMS = (5, 8)
@@ -111,11 +111,21 @@ def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     return out
 
 
+def _filler(n: int) -> bytes:
+    """n bytes that no text has and no reference can use, in place of a toxic dictionary."""
+    blocks = (hashlib.blake2b(i.to_bytes(4, "little")).digest() for i in range(n // 64 + 1))
+    return bytes(1 + b % 8 for b in b"".join(blocks))[:n]
+
+
 class Distance:
-    """Bytes that the toxic dictionary saves in each window."""
+    """Bytes that the toxic dictionary saves in each window.
+
+    Without it, filler stands in its place: then ordinary text is as far back
+    either way, and what a window saves comes from toxic content alone.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = self._compressor(ordinary), self._compressor(ordinary + toxic)
+        self.plain, self.both = self._compressor(ordinary + _filler(len(toxic))), self._compressor(ordinary + toxic)
 
     @staticmethod
     def _compressor(content: bytes):
