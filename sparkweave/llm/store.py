@@ -82,57 +82,47 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
-    """A row for each document (kind 0: addresses joined) and each chunk that its task meets first (kind 1)."""
+    """A row for each document (root and joined addresses) and for each chunk that its task meets first (address and payload).
+
+    The two kinds have columns of their own, so that who reads one kind doesn't decode the other's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end, met = encoder(tokenizer), END_ID.to_bytes(4, "little"), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                row, kind, count, data, payload = [], [], [], [], []
+                row, count, root, listed, address, payload = [], [], [], [], [], []
                 for i, text in enumerate(part.column(1)):
                     ids = np.frombuffer(known.encode(text.as_py() or "") + end, "<u4")
                     body = ids.astype(f"<u{width}").tobytes()
                     addresses, last = [], 0
                     for cut in cuts(ids):
                         chunk = body[last * width : cut * width]
-                        address = digest(chunk)
-                        addresses.append(address)
-                        if address not in met:
-                            met.add(address)
+                        name = digest(chunk)
+                        addresses.append(name)
+                        if name not in met:
+                            met.add(name)
                             row.append(None)
-                            kind.append(1)
                             count.append(cut - last)
-                            data.append(address)
+                            root.append(None)
+                            listed.append(None)
+                            address.append(name)
                             payload.append(chunk)
                         last = cut
                     if len(met) > 1 << 20:
                         met.clear()
                     row.append(i)
-                    kind.append(0)
                     count.append(len(ids))
-                    data.append(b"".join(addresses))
-                    payload.append(merkle_root(addresses))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(row, pa.int64())),
-                        pa.array(kind, pa.int32()),
-                        pa.array(count, pa.int64()),
-                        pa.array(data, pa.binary()),
-                        pa.array(payload, pa.binary()),
-                    ],
-                    names=schema.names,
-                )
-
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", docs.schema[0].dataType),
-            T.StructField("kind", T.IntegerType()),
-            T.StructField("n_ids", T.LongType()),
-            T.StructField("address", T.BinaryType()),
-            T.StructField("payload", T.BinaryType()),
-        ]
-    )
+                    root.append(merkle_root(addresses))
+                    listed.append(b"".join(addresses))
+                    address.append(None)
+                    payload.append(None)
+                data = [pa.array(count, pa.int64()), *(pa.array(c, pa.binary()) for c in (root, listed, address, payload))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *data], names=schema.names)
+
+    binary = [T.StructField(c, T.BinaryType()) for c in ("root", "addresses", "address", "payload")]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[0].dataType), T.StructField("n_ids", T.LongType()), *binary])
     return docs.mapInArrow(run, schema)
 
 
@@ -158,11 +148,9 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     width = 2 if encoder(tokenizer).size <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     both = materialize(_tokenized(rows, tokenizer, width), "tokenized")
-    chunks = both.where("kind = 1").select("address", "n_ids", "payload")
+    chunks = both.where("address IS NOT NULL").select("address", "n_ids", "payload")
     chunks.repartition("address").mapInArrow(_first_of_each, chunks.schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = both.where("kind = 0").select(
-        "doc_id", F.col("n_ids").alias("n_tokens"), F.col("payload").alias("root"), F.col("address").alias("addresses")
-    )
+    recipes = both.where("root IS NOT NULL").select("doc_id", F.col("n_ids").alias("n_tokens"), "root", "addresses")
     sums = {"start": "n_tokens", "number": "one"}
     numbered = prefix_scan(recipes.withColumn("one", F.lit(1)), ["doc_id", "root", "n_tokens"], sums).drop("one")
     ordered = numbered.repartitionByRange("number").sortWithinPartitions("number")
