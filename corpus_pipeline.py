@@ -2,8 +2,9 @@
 
 Each stage takes what the one before it kept: documents that the quality
 classifier rejects go; lines that repeat earlier ones are cut; one document of
-each group of near-duplicates stays; documents with a passage of the benchmark
-go; what is left is packed into token sequences.
+each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or
+more) stays; documents with a passage of the benchmark go; what is left is packed
+into token sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import decontaminate, linededup, packing, quality, simhash
+from sparkweave.llm import decontaminate, linededup, neardup, packing, quality
 from sparkweave.storage import materialize, table
 
 
@@ -25,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,224 @@
+"""Near-duplicates by the exact Jaccard similarity of their sets of word shingles.
+
+Shingles are put in one order for all documents, frequent ones last. Of two sets
+that are similar enough, the first shingle that both have lies within the first
+n - ceil(0.8 n) + 1 of each, so documents are filed under those alone. What shares
+a file and may be similar by its size and place there is compared shingle by shingle.
+
+How frequent shingles are is guessed from a sample of documents. The guess only
+orders them: any order finds the same pairs, a good one compares fewer.
+
+Neighbours by size within files are compared first. Of the rest only what isn't
+joined by then is compared, so a group of many near copies takes about as many
+comparisons as it has rows in files, and not their square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkweave.operators.components import star_components
+from sparkweave.storage import discard, materialize
+
+SHINGLE = 5
+#: Similarity from which two documents are near-duplicates, as a fraction.
+PART, WHOLE = 4, 5
+SEED = 42
+#: One document in so many is looked at for frequent shingles; those seen so often there are ordered by that, at most so many of them.
+SAMPLED, OFTEN, ORDERED = 8, 3, 200_000
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The different XXH64 of all runs of ``size`` words, ascending; a shorter text is one run."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(min(size, len(words)))), strict=False))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=max(1, len(words) - size + 1))
+    return np.unique(hashes.view(np.int64))
+
+
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes of id and text name a row: rows equal in both are one document."""
+    absent = F.col(id_col).isNull()
+    return F.xxhash64(id_col, text_col, absent), F.xxhash64(text_col, id_col, absent)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            found = [shingles(t.as_py()) for t in batch.column(0).slice(at, 256).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
+
+
+def _frequent(docs: DataFrame, key: Column, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sampled documents have, ascending, and how many."""
+    sample = docs.where(F.pmod(key, F.lit(SAMPLED)) == 0).select(F.col(text_col).alias("text"))
+    counted = sample.mapInArrow(_each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = sorted((r["h"], r["n"]) for r in counted.orderBy(F.desc("n"), "h").limit(ORDERED).collect())
+    return np.array([h for h, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of ``found`` by (frequency, hash), as many as a near-duplicate can't all be without."""
+    n = len(found)
+    if not n:
+        return found
+    rank = np.zeros(n, dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        rank = np.where(frequent[at] == found, counts[at], 0)
+    return found[np.argsort(rank, kind="stable")[: n + (-n * PART // WHOLE) + 1]]
+
+
+def _sets(frequent: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingles(t.as_py()) for t in part.column(3).cast(pa.binary())]
+                names = [xxhash.xxh64_intdigest(s.tobytes()) for s in found]
+                first = [prefix(s, frequent, counts) for s in found]
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in first])])
+                filed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
+                v = pa.array(np.array(names, dtype=np.uint64).view(np.int64))
+                n = pa.array([len(s) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], v, n, filed], names=["id", "k1", "k2", "v", "n", "filed"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, v, n, pos) in order: those of files with more than one set, each set once."""
+    held = np.zeros((4, 0), dtype=np.int64)
+
+    def several(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+        rows = rows[:, new]
+        more = rows[0, 1:] == rows[0, :-1]
+        rows = rows[:, np.append(more, False) | np.append(False, more)]
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["h", "v", "n", "pos"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))
+        if cut:
+            yield several(rows[:, :cut])
+        held = rows[:, cut:]
+    if held.shape[1]:
+        yield several(held)
+
+
+def _binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            data = [shingles(t.as_py()).tobytes() for t in part.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["v", "data"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(WHOLE * both >= PART * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _may(n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+    """Whether two sets whose first shared shingle stands at these places can be similar enough."""
+    return (PART + WHOLE) * F.least(n - pos, other_n - other_pos) >= PART * (n + other_n)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are near-duplicates."""
+    pairs = materialize(pairs.distinct(), f"{label}-pairs")
+    asked = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
+    one = rows.join(asked, "v").groupBy("v").agg(F.min(F.struct("k1", "k2")).alias("k")).select("v", "k.k1", "k.k2")
+    texts = docs.join(one, ["k1", "k2"]).select("v", "text")
+    sets = materialize(texts.mapInArrow(_binary, "v long, data binary").dropDuplicates(["v"]), f"{label}-sets")
+    left = sets.select(F.col("v").alias("a"), F.col("data").alias("x"))
+    right = sets.select(F.col("v").alias("b"), F.col("data").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")  # no side has a bound, so none is copied
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), f"{label}-links")
+    discard(sets)
+    discard(pairs)
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, k1, k2, component) for each row of ``docs``: rows that chains of near-duplicates join have one component.
+
+    Two rows are near-duplicates if the different shingles of both are at least
+    ``PART`` / ``WHOLE`` of the different shingles of either. A text of fewer words
+    than a shingle is one shingle; texts without a word are alike. k1 and k2 are the
+    ``row_key``. No rows give no rows.
+    """
+    k1, k2 = row_key(id_col, text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    longs = [T.StructField(c, T.LongType()) for c in ("k1", "k2", "v", "n")]
+    schema = T.StructType([keyed.schema["id"], *longs, T.StructField("filed", T.ArrayType(T.LongType()))])
+    frequent = _frequent(docs, k1, text_col)
+    sets = materialize(keyed.mapInArrow(_sets(*frequent), schema), "shingle-sets")
+    filed = sets.select("v", "n", F.posexplode("filed").alias("pos", "h")).select("h", "v", "n", F.col("pos").cast("long").alias("pos"))
+    dealt = filed.repartition("h").sortWithinPartitions("h", "v")
+    shared = materialize(dealt.mapInArrow(_shared, "h long, v long, n long, pos long"), "shared-shingles")
+    rows = materialize(sets.drop("n", "filed"), "named-sets")
+    discard(sets)
+    texts = keyed.select("k1", "k2", "text")
+
+    order = Window.partitionBy("h").orderBy("n", "v")
+    beside = shared.select("*", *(F.lag(c).over(order).alias(f"other_{c}") for c in ("v", "n", "pos")))
+    beside = beside.where(_may(*(F.col(c) for c in ("n", "pos", "other_n", "other_pos"))))
+    pair = [F.least("v", "other_v").alias("a"), F.greatest("v", "other_v").alias("b")]
+    links = _verified(beside.select(*pair), rows, texts, "beside")
+
+    joined = materialize(star_components(links, "a", "b"), "joined")
+    placed = shared.join(joined.withColumnRenamed("id", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    placed = materialize(placed, "placed")
+    discard(shared)
+    apart = placed.groupBy("h").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("h")
+    open_ = placed.join(apart, "h", "left_semi")
+    other = open_.select("h", *(F.col(c).alias(f"other_{c}") for c in ("v", "n", "pos", "label")))
+    across = open_.join(
+        other.hint("merge"),
+        (open_["h"] == other["h"])
+        & (F.col("v") < F.col("other_v"))
+        & (F.col("label") != F.col("other_label"))
+        & _may(*(F.col(c) for c in ("n", "pos", "other_n", "other_pos"))),
+    )
+    rest = _verified(across.select(*pair), rows, texts, "across")
+    discard(placed)
+    labels = star_components(joined.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(rest), "a", "b")
+    named = rows.select("id", "k1", "k2", "v").join(labels.withColumnRenamed("id", "v"), "v", "left")
+    return named.select("id", "k1", "k2", F.coalesce("label", "v").alias("component"))
+
+
+def keep_first(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the first row by (id, text) of each component in ``judged`` (id, k1, k2, component); rows without an id come last."""
+    judged = materialize(judged, "judged")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id")
+    least = judged.groupBy("component").agg(F.min(place).alias("least"))
+    first = judged.join(least, "component").where(F.col("id").eqNullSafe(F.col("least.id")))
+    first = first.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("component").alias("__component")).distinct()
+    k1, k2 = row_key(id_col, text_col)
+    found = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(first, ["__k1", "__k2"])
+    one = Window.partitionBy("__component").orderBy(text_col)
+    return found.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the first by id (null last) and text."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)

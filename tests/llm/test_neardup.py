@@ -1,0 +1,78 @@
+"""Near-duplicates against the similarity of all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from sparkweave.llm import neardup
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").lower().split()
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def brute_groups(texts):
+    sets = brute_sets(texts)
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def texts_with_near_copies(seed, n=60):
+    rng = random.Random(seed)
+    common = " ".join(f"c{i}" for i in range(9))
+    texts = [None, "", " \n", "one two", "One  two", "one two three four five", "one two three four six"]
+    for _ in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([5, 12, 60, 150]))]
+        text = " ".join(words) + rng.choice(["", " " + common])
+        texts.append(text)
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            words = text.split()
+            for _ in range(rng.randrange(1, 1 + max(2, len(words) // 35))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(4000)}"
+            texts.append(" ".join(words))
+            if rng.random() < 0.3:
+                text = texts[-1]
+    return texts
+
+
+@pytest.mark.parametrize("seed, often", [(1, 4), (2, 1)])
+def test_one_of_each_group_stays(spark, monkeypatch, seed, often):
+    """All groups by brute force, with and without a guess of what is frequent."""
+    monkeypatch.setattr(neardup, "OFTEN", often)
+    monkeypatch.setattr(neardup, "SAMPLED", 2)
+    texts = texts_with_near_copies(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i, r in enumerate(brute_groups(texts)) if i == r}
+    assert len(want) < len(texts) - 20
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 60)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 40, rng.integers(0, 5))]))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            often = np.unique(rng.choice(a, len(a) // 2))
+            counts = rng.integers(1, 4, len(often))
+            assert np.intersect1d(neardup.prefix(a, often, counts), neardup.prefix(b, often, counts)).size
+
+
+def test_rows_are_judged_each(spark):
+    """Rows that repeat an id or have none go as near copies, and stay where nothing is like them."""
+    base = " ".join(f"b{i}" for i in range(80))
+    near = base.replace("b40", "other")
+    rows = [(1, base), (2, near), (2, "z alone"), (2, "a alone too"), (None, near + " end"), (None, "unnamed and alone"), (None, "unnamed and alone")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, base), (2, "a alone too"), (2, "z alone"), (None, "unnamed and alone")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
