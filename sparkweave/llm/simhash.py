@@ -20,10 +20,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweave.llm.neardup import keep_first, row_key
 from sparkweave.operators.components import star_components
 from sparkweave.storage import materialize
 
@@ -255,18 +256,12 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one of the smallest id.
+    """``docs`` with one row of each group of near-duplicates: the first by id (null last) and text.
 
-    Of rows that repeat that id, one stays. Rows without an id can't be named by
-    a verdict and all stay.
+    Rows are judged each by its own text, so those that repeat an id or have none
+    stay or go like any other.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    one = Window.partitionBy(id_col).orderBy(text_col)
-    named = (
-        docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-        .withColumn("__row", F.row_number().over(one))
-        .where("__row = 1")
-        .drop("__row")
-    )
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    k1, k2 = row_key(id_col, text_col)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2")).alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text", radius)
+    return keep_first(docs, found.select("id.id", "id.k1", "id.k2", "component"), id_col, text_col)
