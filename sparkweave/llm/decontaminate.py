@@ -216,9 +216,13 @@ def proximity(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without rows whose id some contaminated row has. Rows without an id stay."""
-    bad = decontaminate(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    """``docs`` without contaminated rows, each judged by its own text, also where ids repeat or are absent."""
+    index, lookups, windows, _ = build(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW)
+    bad = phrase_matches(index, lookups, windows).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    bad = materialize(bad, "contaminated")
+    keyed = docs.select("*", F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(text_col, id_col).alias("__k2"))
+    own = (keyed["__k1"] == bad["__k1"]) & (keyed["__k2"] == bad["__k2"]) & keyed[text_col].isNotNull()
+    return keyed.join(bad, own, "left_anti").drop("__k1", "__k2")
 
 
 SQL = r"""
