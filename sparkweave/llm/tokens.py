@@ -67,13 +67,12 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text."""
+    """Texts to ids as little-endian unsigned 32-bit bytes, the same as the library's plain call: a special token's string gets its id."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.memory = _Memory(self.tokenizer.model)
