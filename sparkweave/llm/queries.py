@@ -98,4 +98,5 @@ ORACLE: dict[str, str] = {
     "op2_chat_format": chat.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op6_quality_rules": rules.SQL,
+    "op8_line_dedup": linededup.SQL,
 }

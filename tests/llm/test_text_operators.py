@@ -143,6 +143,44 @@ def test_line_dedup(spark):
     assert all(got[i]["n_removed"] == 0 for i in range(2, 40, 4))  # shorter than a chunk
 
 
+def _by_chunks(rows):
+    """What goes by chunks around boundaries that stand in several places."""
+    found = [(i, c) for i, t in rows for c in linededup.chunks(t.encode().split(b"\n"))]
+    spots, places, gone = {}, {}, {i: set() for i, _ in rows}
+    for i, c in found:
+        spots.setdefault(c[4], set()).add((i, c[3]))
+    for i, c in found:
+        if len(spots[c[4]]) > 1:
+            places.setdefault(c[2], []).append((i, c[0], c[1]))
+    for same in places.values():
+        for i, a, b in sorted(same)[1:]:
+            gone[i].update(range(a, b))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+def test_boundaries_decide(monkeypatch):
+    """Chunks around repeated boundaries cover every repeated run, blank lines too; other boundaries don't."""
+    rng = random.Random(1)
+    corpora = []
+    for _ in range(150):
+        pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 0, 5, 10, 20, 30, 60]))) for _ in range(8)]
+        corpora.append([(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(8)])
+    want = [brute_dedup(rows) for rows in corpora]
+    assert [_by_chunks(rows) for rows in corpora] == want
+    monkeypatch.setattr(linededup, "boundaries", lambda keys, runs: [min(b - 1, a - a % 3 + 2) for a, b in runs])
+    assert [_by_chunks(rows) for rows in corpora] != want
+
+
+def test_boundaries_are_least():
+    rng = random.Random(2)
+    keys = [rng.randrange(9) for _ in range(60)]
+    ends = sorted(rng.randrange(1, 61) for _ in range(40))
+    runs = sorted((rng.randrange(max(0, e - 9), e), e) for e in ends)
+    starts = sorted(a for a, _ in runs)
+    runs = [(min(a, e - 1), e) for a, e in zip(starts, ends, strict=True)]
+    assert list(linededup.boundaries(keys, runs)) == [min(range(a, b), key=lambda i: (keys[i], i)) for a, b in runs]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_all_and_overfills_nothing(seed):
     rng = random.Random(seed)
