@@ -1,11 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic
-text has beyond it (the runs of toxic documents whose character grams ordinary
-documents hardly have). A window of a text is compressed with the ordinary
-dictionary and with both together; the bytes that the toxic one saves are its
-distance. A document's distances go through calibrated thresholds: a logistic
-model of how many windows save how much.
+zstandard trains two dictionaries: one on the windows of ordinary documents, one on
+the runs of toxic documents that ordinary ones hardly have (their character grams
+say so). A window of a text is compressed with the ordinary dictionary alone and
+with the toxic one behind it; the bytes that the toxic one saves are its distance.
+A document's distances go through calibrated thresholds: a logistic model of how
+many windows save how much.
+
+Two dictionaries that share nothing differ in the ordinary language that they
+happen to hold, by more bytes than a toxic word saves; so both compressors begin
+with the ordinary one.
 """
 
 from __future__ import annotations
@@ -26,18 +30,20 @@ from pyspark.sql import types as T
 from sparkweave.llm.labelled import held_out, sample
 
 FOLDS, FOLD = 5, 0
-#: Labelled documents of each label that are learned from, at most.
-MOST = 4000
+#: Labelled documents of each label that are learned from, at most; their texts are read whole.
+MOST = 2500
 WINDOW = 96
 LEVEL = 12
-ORDINARY_SIZE, TOXIC_SIZE = 1 << 15, 1 << 10
-#: Bytes of the samples that the ordinary dictionary is trained on, at most.
-ORDINARY_SAMPLES = 1 << 23
+#: Sizes that the trainer is given, and the length of its segments and of what it counts.
+ORDINARY_SIZE, TOXIC_SIZE = 1 << 15, 1 << 12
+ORDINARY_SEGMENT, TOXIC_SEGMENT, COUNTED = 32, 64, 8
 GRAMS = (5, 8)
 #: A gram (or word) is toxic if its share of toxic documents is so many times that of ordinary ones.
 RATIO = 100
 #: And it stands in so many toxic documents, and in one of a hundred of them.
 LEAST = 5
+#: Parts of the learned documents; each is calibrated on with dictionaries from the others.
+PARTS = 3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -61,54 +67,53 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def _grams(word: bytes) -> list[tuple[int, bytes]]:
+def _grams(word: bytes) -> set[tuple[int, bytes]]:
     """(place, gram) of all grams of a word, and the word itself."""
-    return [(0, word), *((i, word[i : i + size]) for size in GRAMS for i in range(len(word) - size + 1))]
+    return {(0, word), *((i, word[i : i + size]) for size in GRAMS for i in range(len(word) - size + 1))}
 
 
-def _words(text: bytes) -> list[bytes]:
-    return [b" " + w + b" " for w in text.split()]
+def _word_counts(texts: list[bytes]) -> Counter[bytes]:
+    """In how many texts each word stands, a space before and after it."""
+    return Counter(b" " + w + b" " for text in texts for w in set(text.split()))
 
 
-def ordinary_dictionary(texts: list[bytes]) -> bytes:
-    samples, size = [], 0
-    for text in texts:
-        if size > ORDINARY_SAMPLES:
-            break
-        samples += windows(text)
-        size += len(text)
-    try:
-        return zstandard.train_dictionary(ORDINARY_SIZE, samples, k=32, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(samples)[-ORDINARY_SIZE:]
-
-
-def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Raw content: the toxic runs, the most frequent last, where references to them are the shortest."""
+def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The runs of toxic texts, in their order and as often as they stand there, whose grams ordinary texts hardly have."""
+    words = _word_counts(toxic)
     in_toxic: Counter[bytes] = Counter()
     in_ordinary: Counter[bytes] = Counter()
-    for text in toxic:
-        in_toxic.update({g for w in set(_words(text)) for _, g in _grams(w)})
-    for text in ordinary:
-        in_ordinary.update({g for w in set(_words(text)) for _, g in _grams(w) if g in in_toxic})
+    for word, n in words.items():
+        for g in {g for _, g in _grams(word)}:
+            in_toxic[g] += n
+    for word, n in _word_counts(ordinary).items():
+        for g in {g for _, g in _grams(word)}:
+            if g in in_toxic:
+                in_ordinary[g] += n
     least = max(LEAST, len(toxic) // 100)
     odds = RATIO * len(toxic) / max(1, len(ordinary))
-    toxic_grams = {g for g, n in in_toxic.items() if n >= least and n > odds * (in_ordinary[g] + 0.5)}
-    runs: Counter[bytes] = Counter()
-    for text in toxic:
-        for word in _words(text):
-            spans = [(i, i + len(g)) for i, g in _grams(word) if g in toxic_grams]
-            if spans:
-                first, last = min(a for a, _ in spans), max(b for _, b in spans)
-                whole = first <= 1 and last >= len(word) - 2
-                runs[word if whole else word[first:last]] += 1
-    out = b""
-    for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if n < least or len(out) + len(run) > TOXIC_SIZE:
-            break
-        if run not in out:
-            out = run + out
-    return out
+    chosen = {g for g, n in in_toxic.items() if n >= least and n > odds * (in_ordinary[g] + 0.5)}
+    run_of: dict[bytes, bytes] = {}
+    for word in words:
+        spans = [(i, i + len(g)) for i, g in _grams(word) if g in chosen]
+        if spans:
+            first, last = min(a for a, _ in spans), max(b for _, b in spans)
+            run_of[word] = word if first <= 1 and last >= len(word) - 2 else word[first:last]
+    return [run_of[w] for text in toxic for w in (b" " + x + b" " for x in text.split()) if w in run_of]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Trained by zstandard; of too little text to train on, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=COUNTED, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic one, from (normal text, label) rows."""
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+    plain = dictionary([w for t in ordinary for w in windows(t)], ORDINARY_SIZE, ORDINARY_SEGMENT)
+    return plain, dictionary(toxic_runs(toxic, ordinary), TOXIC_SIZE, TOXIC_SEGMENT)
 
 
 def _filler(n: int) -> bytes:
@@ -184,25 +189,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[str, int, float]]) -> Model | None:
     """From (text, label, weight) rows; None unless both labels are there.
 
-    Two of three documents make the dictionaries; thresholds are calibrated on
-    the distances of the others, which had no part in them.
+    Thresholds are calibrated on the distances of each of ``PARTS`` parts by the
+    dictionaries of the others, which that part had no share in; the model's own
+    dictionaries come from all rows.
     """
     if len({y for _, y, _ in rows}) < 2:
         return None
-    texts = [(normal(t), y, w) for t, y, w in rows]
-    made = [x for i, x in enumerate(texts) if i % 3]
-    kept = [x for i, x in enumerate(texts) if i % 3 == 0]
-    if len({y for _, y, _ in kept}) < 2 or len({y for _, y, _ in made}) < 2:
-        made = kept = texts
-    plain = [t for t, y, _ in made if not y]
-    ordinary, toxic = ordinary_dictionary(plain), toxic_dictionary([t for t, y, _ in made if y], plain)
-    distance = Distance(ordinary, toxic)
-    x = np.array([features(distance.saved(t)) for t, _, _ in kept])
-    y = np.array([y for _, y, _ in kept], dtype=np.float64)
-    weight = np.array([w for _, _, w in kept])
+    texts = [(normal(t), y) for t, y, _ in rows]
+    order = sorted(range(len(texts)), key=lambda i: texts[i][1])  # so that every part has its share of each label
+    part = np.empty(len(texts), dtype=int)
+    part[order] = np.arange(len(texts)) % PARTS
+    x = np.zeros((len(texts), len(features(np.zeros(0)))))
+    for p in range(PARTS):
+        rest = [t for t, q in zip(texts, part, strict=True) if q != p]
+        distance = Distance(*dictionaries(rest if len({y for _, y in rest}) > 1 else texts))
+        for i in np.flatnonzero(part == p):
+            x[i] = features(distance.saved(texts[i][0]))
+    y = np.array([y for _, y in texts], dtype=np.float64)
+    weight = np.array([w for _, _, w in rows])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic(np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1), y, weight / weight.mean())
-    return Model(ordinary, toxic, mean, scale, weights)
+    return Model(*dictionaries(texts), mean, scale, weights)
 
 
 _DISTANCES: dict[bytes, Distance] = {}

@@ -201,6 +201,36 @@ def test_classifiers_on_held_out(spark):
         assert right > 0.95, (module.__name__, right)
 
 
+LABELLED = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not Path(LABELLED).is_dir(), reason="no test tables")
+def test_toxicity_of_labelled_documents():
+    """Held-out rows of the real labels. A seventh of the toxic ones have no word or fragment that sets them apart."""
+    rows = duckdb.sql(
+        f"SELECT doc_id, text, toxic FROM '{LABELLED}/documents.parquet' JOIN '{LABELLED}/labels.parquet' USING (doc_id) ORDER BY doc_id"
+    ).fetchall()
+    unseen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    model = toxicity.train([(t, y, 1.0) for _, t, y in learned])
+    distance = toxicity.Distance(model.ordinary, model.toxic)
+    found = model.probability(np.array([toxicity.features(distance.saved(toxicity.normal(t))) for _, t, _ in unseen])) >= 0.5
+    truth = np.array([y for _, _, y in unseen]) == 1
+    assert (found == truth).mean() > 0.94 and (found & truth).sum() > 0.65 * truth.sum()
+
+
+def test_dictionaries_are_trained_on_their_own_texts():
+    rng = random.Random(3)
+    plain = [" ".join(rng.choice(["tion", "ther", "ing", "stone"]) * rng.randrange(1, 3) for _ in range(60)) for _ in range(300)]
+    toxic = [t.replace("stone", rng.choice(["grobok", "wuxelp"]), 3) for t in plain[:100]]
+    rows = [(toxicity.normal(t), 0) for t in plain[100:]] + [(toxicity.normal(t), 1) for t in toxic]
+    ordinary, bad = toxicity.dictionaries(rows)
+    assert ordinary[:4] == b"\x37\xa4\x30\xec" and b"grobok" not in ordinary  # the mark of trained dictionaries
+    assert b"grobok" in bad and b"wuxelp" in bad
+    runs = toxicity.toxic_runs([t for t, y in rows if y], [t for t, y in rows if not y])
+    assert runs and all(b"grobok" in r or b"wuxelp" in r for r in runs)
+
+
 def test_sample_is_bounded_and_never_held_out(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, y int")
