@@ -52,6 +52,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontaminate.NEAR)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -92,11 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "benchmark_proximity": benchmark_proximity,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.SQL,
     "op4_decontamination": decontaminate.SQL,
+    "benchmark_proximity": decontaminate.NEAR_SQL,
     "op6_quality_rules": rules.SQL,
     "op8_line_dedup": linededup.SQL,
 }
