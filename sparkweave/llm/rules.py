@@ -1,4 +1,9 @@
-"""Quality rules with verdicts of hosts. DataFrame expressions only."""
+"""Quality rules with verdicts of hosts. DataFrame expressions only.
+
+Every rule's failures are counted by host. A host's rate of a rule is shrunk to a
+beta prior that is fitted to all hosts; a host with a rate over the limit takes its
+documents with it. Two of the rules reject a document by themselves, too.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,8 @@ from sparkweave.storage import materialize
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # in 100 words
+#: A symbol for so many words, and a repeated line for so many, are too many. These count against the host alone.
+WORDS_PER_SYMBOL, WORDS_PER_REPEATED_LINE = 5, 20
 HOST_LIMIT = 0.5
 #: The prior counts as at least and at most so many documents.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
@@ -83,33 +90,56 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def rules() -> dict[str, Column]:
+    """Whether a document fails each of the rules, from its counts."""
+    return {
+        "few_words": F.col("n_words") < MIN_WORDS,
+        "repeated_words": 100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"),
+        "symbols": WORDS_PER_SYMBOL * F.col("n_symbols") > F.col("n_words"),
+        "repeated_lines": WORDS_PER_REPEATED_LINE * F.col("n_dup_lines") > F.col("n_words"),
+    }
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    known = rules()
+    return known["few_words"] | known["repeated_words"]
 
 
-def host_rates(judged: DataFrame, host_col: str, failed_col: str) -> DataFrame:
-    """(host, n_docs, n_failed, failure_rate): rates of hosts shrunk to an empirical beta prior.
+def prior(n: int, f: int, hosts: int, squares: float, spread: float) -> tuple[float, float]:
+    """Mean and strength of the beta prior, by moments.
 
-    The prior's mean is the rate over all documents, its strength comes from the
-    variance of the hosts' rates, each weighted by its documents. Only the two
-    numbers of the prior reach the driver.
+    ``n`` documents of ``hosts`` hosts failed ``f`` times; ``squares`` is the sum of
+    n_h**2, ``spread`` that of f_h**2 / n_h. What binomial sampling alone would spread
+    the hosts' rates by is subtracted: hosts that differ by chance only have a prior as
+    strong as can be, however small they are.
     """
-    hosts = (
-        judged.where(F.col(host_col).isNotNull())
-        .groupBy(F.col(host_col).alias("host"))
-        .agg(F.count("*").alias("n_docs"), F.sum(F.col(failed_col).cast("long")).alias("n_failed"))
-    )
+    mean = f / n
+    each = mean * (1 - mean)
+    room = each * (n - squares / n - (hosts - 1))
+    beyond = spread - mean * mean * n - each * (hosts - 1)
+    if room <= 0 or beyond <= 0:
+        return mean, MOST_STRENGTH
+    return mean, min(max(room / beyond - 1, LEAST_STRENGTH), MOST_STRENGTH)
+
+
+def host_rates(judged: DataFrame, host_col: str, failed_cols: list[str]) -> DataFrame:
+    """(host, n_docs, n_<rule>, rate_<rule>): failures and shrunk rates of each of ``failed_cols`` (a null one hasn't failed).
+
+    The prior's mean is the rate over all documents. Only the sums that the priors
+    follow from reach the driver.
+    """
+    counts = [F.count_if(F.col(c)).alias(f"n_{c}") for c in failed_cols]
+    hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), *counts)
     hosts = materialize(hosts, "hosts")
-    sums = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f")).first()
-    if not sums["n"]:
-        return hosts.withColumn("failure_rate", F.lit(0.0))
-    mean = sums["f"] / sums["n"]
-    spread = F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), F.lit(2.0))) / sums["n"]
-    variance = hosts.agg(spread.alias("v")).first()["v"]
-    strength = mean * (1 - mean) / variance - 1 if variance > 0 else MOST_STRENGTH
-    strength = min(max(strength, LEAST_STRENGTH), MOST_STRENGTH)
-    rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("failure_rate", rate)
+    of_each = [a for c in failed_cols for a in (F.sum(f"n_{c}").alias(f"f_{c}"), F.sum(F.col(f"n_{c}") * F.col(f"n_{c}") / F.col("n_docs")).alias(f"s_{c}"))]
+    squares = F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("squares")
+    sums = hosts.agg(F.sum("n_docs").alias("n"), F.count("*").alias("hosts"), squares, *of_each).first()
+    for c in failed_cols:
+        if sums["n"]:
+            mean, strength = prior(sums["n"], sums[f"f_{c}"], sums["hosts"], sums["squares"], sums[f"s_{c}"])
+            rate = (F.col(f"n_{c}") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
+        hosts = hosts.withColumn(f"rate_{c}", rate if sums["n"] else F.lit(0.0))
+    return hosts
 
 
 def judge(
@@ -117,15 +147,17 @@ def judge(
 ) -> DataFrame:
     """One row for each row of ``docs``: its id, the counts, ``base_failed``, ``host_rate`` and ``kept``.
 
-    A document stays if it passes the base rules and the shrunk failure rate of
-    its host is not over ``host_limit``. A null host has no verdict, so its
+    ``host_rate`` is the largest of the host's shrunk failure rates. A document stays
+    if it passes the base rules and that isn't over ``host_limit``: of what the host
+    has, more fails a rule than passes it. A null host has no verdict, so its
     documents are judged by the base rules alone (``host_rate`` null). Rows that
     repeat an id are judged each for itself. No rows give no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("__host"), F.col(text_col).alias("text"))
-    judged = measure(rows).withColumn("base_failed", base_failed())
-    judged = materialize(judged, "judged")
-    rates = host_rates(judged, "__host", "base_failed").select(F.col("host").alias("__host"), F.col("failure_rate").alias("host_rate"))
+    judged = materialize(measure(rows).withColumn("base_failed", base_failed()), "judged")
+    names = list(rules())
+    rates = host_rates(judged.select("__host", *(c.alias(n) for n, c in rules().items())), "__host", names)
+    rates = rates.select(F.col("host").alias("__host"), F.greatest(*(f"rate_{n}" for n in names)).alias("host_rate"))
     return (
         judged.join(rates, "__host", "left")
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= host_limit))
@@ -147,11 +179,15 @@ m AS (
     CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN dl USING (rid) LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-mu AS (SELECT CAST(sum(f) AS DOUBLE) / sum(n) AS mean, sum(n) AS total FROM h),
-v AS (SELECT mean, sum(n * power(f / CAST(n AS DOUBLE) - mean, 2)) / any_value(total) AS variance FROM h, mu GROUP BY mean),
-p AS (SELECT mean, least(greatest(CASE WHEN variance > 0 THEN mean * (1 - mean) / variance - 1 ELSE 1e6 END, 1.0), 1e6) AS k FROM v),
-r AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, p)
+x AS (
+  SELECT source, unnest(['few', 'repeats', 'symbols', 'lines']) AS rule,
+    unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 5 * n_symbols > n_words, 20 * n_dup_lines > n_words]) AS bad
+  FROM b WHERE source IS NOT NULL),
+h AS (SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE bad) AS DOUBLE) AS f FROM x GROUP BY source, rule),
+mu AS (SELECT rule, sum(f) / sum(n) AS m, sum(n) AS total, count(*) AS hosts, sum(n * n) AS squares FROM h GROUP BY rule),
+v AS (SELECT rule, sum(n * power(f / n - m, 2)) - any_value(m * (1 - m) * (hosts - 1)) AS beyond, any_value(m * (1 - m) * (total - squares / total - hosts + 1)) AS room FROM h JOIN mu USING (rule) GROUP BY rule),
+p AS (SELECT rule, m, CASE WHEN room > 0 AND beyond > 0 THEN least(greatest((room - beyond) / beyond, 1.0), 1e6) ELSE 1e6 END AS k FROM mu JOIN v USING (rule)),
+r AS (SELECT source, max((f + m * k) / (n + k)) AS rate FROM h JOIN p USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(rate, 0.0) <= 0.5 AS kept
 FROM b LEFT JOIN r USING (source)

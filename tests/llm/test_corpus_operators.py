@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkweave.llm import decontaminate, labelled, packing, quality, simhash, toxicity
+from sparkweave.llm import decontaminate, labelled, packing, quality, rules, simhash, toxicity
 from sparkweave.llm.queries import ORACLE, QUERIES
 from sparkweave.storage import table
 
@@ -142,6 +142,32 @@ def test_simhash_query(spark, duck):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op10_simhash"](spark, DATA).collect()} == want
 
 
+def test_hosts_take_their_documents_with_them(spark):
+    """A bad host's clean documents go; hosts of one document take nothing."""
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [("bad", "too short")] * 60 + [("bad", good)] * 20 + [("noisy", good + " $#&|<>*%$#|")] * 60 + [("fine", good)] * 300
+    rows += [(f"one{i}", good if i % 5 else "too short") for i in range(200)] + [(None, "too short"), (None, good)]
+    frame = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = rules.judge(frame).join(frame.select("doc_id", "source"), "doc_id").collect()
+    gone = {r["source"] for r in got if not r["base_failed"] and not r["kept"]}
+    assert gone == {"bad", "noisy"}
+    assert all(not r["kept"] for r in got if r["source"] in gone) and all(r["kept"] for r in got if r["source"] == "fine")
+    assert [r["kept"] for r in got if r["source"] is None and not r["base_failed"]] == [True]
+    assert all(r["host_rate"] < 0.7 for r in got if (r["source"] or "").startswith("one"))  # shrunk from 1
+
+
+def test_prior_of_hosts():
+    rng = np.random.default_rng(1)
+    for a, b, sizes in ((2.0, 6.0, [400] * 300), (1.0, 1.0, [5, 50] * 400)):
+        n = np.array(sizes)
+        f = rng.binomial(n, rng.beta(a, b, len(n)))
+        mean, strength = rules.prior(int(n.sum()), int(f.sum()), len(n), float((n * n).sum()), float((f * f / n).sum()))
+        assert mean == pytest.approx(a / (a + b), abs=0.05) and strength == pytest.approx(a + b, rel=0.3)
+    n = np.full(2000, 3)
+    f = rng.binomial(n, 0.2)  # hosts that differ by chance alone
+    assert rules.prior(int(n.sum()), int(f.sum()), len(n), float((n * n).sum()), float((f * f / n).sum()))[1] > 20
+
+
 def test_decontamination_windows(spark):
     """Hits by hand: a window at the start, one at the end, overlapping ones, a short item, and a near miss."""
     words = [f"w{i}" for i in range(14)]
