@@ -2,8 +2,8 @@
 
 Fingerprints are compared in vertical layout: bit plane b holds bit b of 64
 fingerprints in each machine word. Distances of 64 fingerprints to one query are
-kept in two carry-save counter words and a word of lanes that are already too
-far; a block whose lanes are all too far is abandoned.
+kept in carry-save counter words and a word of lanes that are already too far; a
+block whose lanes are all too far is abandoned.
 
 Candidates come from the pigeonhole principle alone: of five blocks of bits two
 differing bits leave three equal, so each distinct fingerprint is filed under its
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave.llm.neardup import keep_first, row_key
+from sparkweave.llm.rows import keep_first, row_key
 from sparkweave.operators.components import star_components
 from sparkweave.storage import materialize
 
@@ -53,12 +53,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         n = len(words) - shingle + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set, as a signed 64-bit integer."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, COUNTED):
+    for at in range(0, len(hashes), COUNTED):
         part = hashes[at : at + COUNTED]
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -111,41 +116,53 @@ def _lanes(first: np.ndarray, last: np.ndarray, word: np.ndarray) -> np.ndarray:
     return below(high) & ~below(low)
 
 
-def near(values: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers at ``radius`` (at most 2) or fewer differing bits, within runs.
+def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is over ``radius``, compared from the highest bit on."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], FULL)
+    for j in range(len(counters) - 1, -1, -1):
+        if radius >> j & 1:
+            equal &= counters[j]
+        else:
+            over |= equal & counters[j]
+            equal &= ~counters[j]
+    return over
+
+
+def near(values: np.ndarray, ends: np.ndarray, radius: int, begins: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers at ``radius`` or fewer differing bits; row i is compared with rows from ``begins[i]`` (the next one) up to ``ends[i]``.
 
-    ``ends[i]`` is the first row after the run of row i.
+    Each lane counts in as many carry-save words as the radius has bits; what
+    overflows them is too far.
     """
     planes = bit_planes(values)
     rows = np.arange(len(values), dtype=np.int64)
-    first, last = (rows + 1) >> 6, (ends - 1) >> 6
-    spans = np.where(ends > rows + 1, last - first + 1, 0)
+    begins = rows + 1 if begins is None else begins
+    first, last = begins >> 6, (ends - 1) >> 6
+    spans = np.where(ends > begins, last - first + 1, 0)
     before = np.concatenate([[0], np.cumsum(spans)])
     total = int(before[-1])
     for at in range(0, total, AT_ONCE):
         index = np.arange(at, min(total, at + AT_ONCE))
         query = np.searchsorted(before, index, side="right") - 1
         word = first[query] + index - before[query]
-        far = ~_lanes(query + 1, ends[query], word)
-        one, two = np.zeros_like(far), np.zeros_like(far)
+        far = ~_lanes(begins[query], ends[query], word)
+        counters = [np.zeros_like(far) for _ in range(max(1, radius.bit_length()))]
         asked = values[query]
         for b in range(64):
-            differs = planes[b][word] ^ (np.uint64(0) - ((asked >> np.uint64(b)) & np.uint64(1)))
-            carry = one & differs
-            one ^= differs
-            far |= two & carry
-            two ^= carry
+            carry = planes[b][word] ^ (np.uint64(0) - ((asked >> np.uint64(b)) & np.uint64(1)))
+            for j, counter in enumerate(counters):
+                counters[j], carry = counter ^ carry, counter & carry
+            far |= carry
             if b % LOOK == LOOK - 1:
-                over = far | (one & two if radius == 2 else two if radius == 1 else one | two)
-                alive = over != FULL
-                if b == 63 or not alive.all():
-                    query, word, asked = query[alive], word[alive], asked[alive]
-                    one, two, far = one[alive], two[alive], far[alive]
+                far |= _beyond(counters, radius)
+                alive = far != FULL
+                if not alive.all():
+                    query, word, asked, far = query[alive], word[alive], asked[alive], far[alive]
+                    counters = [c[alive] for c in counters]
                 if not len(query):
                     break
         if len(query):
-            over = far | (one & two if radius == 2 else two if radius == 1 else one | two)
-            bits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits((~far).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             hit, lane = np.nonzero(bits)
             yield query[hit], word[hit] * 64 + lane
 
@@ -243,7 +260,7 @@ def near_duplicates(
     without any id has a null one. No rows give no rows.
     """
     if not 0 <= radius <= 2:
-        raise ValueError("two carry-save counters hold a radius of 0, 1 or 2")
+        raise ValueError("files by equal blocks of bits are for a radius of 0, 1 or 2")
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     labels = star_components(fingerprint_links(distinct.select("fp"), radius), "a", "b")

@@ -21,3 +21,21 @@ def brute_dedup(rows):
         for i, a, b in sorted(places)[1:]:
             gone[i].update(range(a, b))
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").lower().split()
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def brute_groups(texts):
+    sets = brute_sets(texts)
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
