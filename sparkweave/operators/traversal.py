@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkweave.graph import Graph
 from sparkweave.operators.components import star_components
-from sparkweave.plans.superstep import Result, VertexProgram, run_vertex_program
-from sparkweave.storage import bucketed, materialize
+from sparkweave.plans.superstep import SMALL_STATE, Result, VertexProgram, run_vertex_program
+from sparkweave.storage import bucketed, checkpointed, discard
 
 DAMP = 0.85
 
@@ -64,28 +64,35 @@ def pagerank(graph: Graph, iters: int = 10, damp: float = DAMP, measure: bool =
     """(id, score) after exactly ``iters`` rounds from 1 / n; what sinks hold is not handed on.
 
     Parallel edges hand on each. Edges are bucketed by source with their
-    source's share (1 / out-degree); a round shuffles partial sums by
-    destination. ``measure`` gives the summed absolute change of each round.
+    source's share (1 / out-degree) and don't move; a round shuffles partial sums by
+    destination, and small states. ``measure`` gives the summed absolute change of each round.
     """
     degrees = graph.edges.groupBy("src").agg((1.0 / F.count("*")).alias("share"))
-    edges, _ = bucketed(graph.edges.select("src", "dst").join(degrees, "src"), "src", "shares")
-    vertices, seen = bucketed(graph.vertices, "id", "vertices", {"n": F.count("*")})
+    vertices, seen = checkpointed(graph.vertices, {"n": F.count("*")})
     n = seen["n"]
     if not n:
         return Ranks(vertices.withColumn("score", F.lit(0.0)), [])
-    ranks = vertices.withColumn("score", F.lit(1.0 / n))
+    edges, _ = bucketed(graph.edges.select("src", "dst").join(degrees, "src"), "src", "shares")
+    small = n <= SMALL_STATE
+    if not small:
+        few, (vertices, _) = vertices, bucketed(vertices, "id", "vertices")
+        discard(few)
+    ranks, last = vertices.withColumn("score", F.lit(1.0 / n)), None
+    change = {"delta": F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(1.0 / n))))}
     deltas = []
-    for i in range(iters):
-        handed = edges.join(ranks.withColumnRenamed("id", "src"), "src")
+    for _ in range(iters):
+        known = ranks.select(F.col("id").alias("src"), "score")
+        handed = edges.join(F.broadcast(known) if small else known, "src")  # a copy of at most SMALL_STATE rows of two numbers
         sums = handed.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("sum"))
         score = F.lit((1 - damp) / n) + F.lit(damp) * F.coalesce("sum", F.lit(0.0))
+        after = ranks.select("id", F.col("score").alias("old")).join(sums, "id", "left").select("id", score.alias("score"), "old")
+        stored, seen = checkpointed(after, change) if small else bucketed(after, "id", "ranks", change, placed=True)
         if measure:
-            after = ranks.withColumnRenamed("score", "old").join(sums, "id", "left").select("id", score.alias("score"), "old")
-            ranks, change = bucketed(after, "id", "ranks", {"delta": F.sum(F.abs(F.col("score") - F.col("old")))}, placed=True)
-            ranks = ranks.select("id", "score")
-            deltas.append(change["delta"])
-        else:
-            ranks = vertices.join(sums, "id", "left").select("id", score.alias("score"))
-            if i % 5 == 4 and i + 1 < iters:
-                ranks, _ = bucketed(ranks, "id", "ranks", placed=True)
-    return Ranks(ranks if measure else materialize(ranks, "ranks"), deltas)
+            deltas.append(seen["delta"])
+        if last is not None:
+            discard(last)
+        ranks = last = stored
+    discard(edges)
+    if last is not None:
+        discard(vertices)
+    return Ranks(ranks.select("id", "score"), deltas)

@@ -32,7 +32,8 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_edges(materialize(part_edges(spark, sf_dir), "edges"))
+    graph = Graph.from_edges(materialize(part_edges(spark, sf_dir), "edges"))
+    return Graph(materialize(graph.vertices, "vertices"), graph.edges)
 
 
 def _with_all_parts(spark: SparkSession, sf_dir: str) -> Graph:

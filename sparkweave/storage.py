@@ -13,12 +13,15 @@ _STORED: dict[int, tuple[DataFrame, str, str | None]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a temporary one, if driver and executors are one process; else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
     return _OWN[app]
 
@@ -27,20 +30,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, metrics: dict[str, Column] | None = None, seen: dict | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts the lineage, so nothing above it is computed twice, and an executor
-    that is lost later takes nothing with it.
+    that is lost later takes nothing with it. Values of ``metrics``, taken while it
+    is written, go to ``seen``.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    values = Observation()
+    if metrics:
+        df = df.observe(values, *(c.alias(k) for k, c in metrics.items()))
     df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _STORED[id(stored)] = (stored, path, None)
+    if metrics:
+        seen.update(values.get)
     return stored
 
 
+def checkpointed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``df`` as a reliable checkpoint in the shared folder, and the values of ``metrics``: cheaper than a table for rows that are few and read once or twice."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_root(spark))
+    seen = Observation()
+    stored = df.observe(seen, *(c.alias(k) for k, c in metrics.items())).checkpoint()
+    path = stored._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    _STORED[id(stored)] = (stored, path, None)
+    return stored, seen.get
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -79,3 +101,9 @@ def discard(df: DataFrame) -> None:
     if name:
         df.sparkSession.sql(f"DROP TABLE {name}")
     delete_path(df.sparkSession, path)
+
+
+def release() -> None:
+    """Delete all that is stored and not discarded yet, once no result that reads it is wanted any more."""
+    for df, _, _ in list(_STORED.values()):
+        discard(df)
