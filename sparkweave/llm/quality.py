@@ -21,13 +21,13 @@ from pyspark.sql import types as T
 from sparkweave.llm.labelled import held_out, sample
 
 FOLDS, FOLD = 3, 1
-#: Labelled documents of each label that are learned from, at most; and passages of each, spread evenly.
-MOST, MOST_PASSAGES = 2000, 64
+#: Labelled documents of each label that are learned from, at most; their texts are read whole.
+MOST = 2000
 PASSAGE = 64  # words
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 5e-3, 1e-4
-#: Bytes whose features are found at once; a longer text is a group of its own.
-GROUP = 1 << 17
+#: Bytes whose features are found at once; a longer text is a group of its own, and one of over SLICE bytes is read in slices.
+GROUP, SLICE = 1 << 17, 1 << 20
 
 _ASCII = np.zeros(256, dtype=np.int64)
 _COARSE = np.zeros(256, dtype=np.int64)
@@ -84,16 +84,36 @@ def _repeats(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((again >> np.uint64(40)).astype(np.int64), minlength=n)
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, passages of each text). A text without words is one passage."""
-    joined = b"\n".join(texts) + b"\n"
+def slices(text: bytes) -> Iterator[tuple[bytes, int, bool]]:
+    """(piece, the byte before it, whether it is the last) of a text, cut where passages begin. Words without end make a piece longer."""
+    at, size = 0, SLICE
+    while len(text) - at > size:
+        space = _SPACE[np.frombuffer(text, np.uint8, size, at)]
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        cut = (len(starts) - 1) // PASSAGE * PASSAGE
+        if cut <= 0:
+            size *= 2
+            continue
+        end = at + int(starts[cut])
+        yield text[at:end], text[at - 1] if at else 10, False
+        at, size = end, SLICE
+    yield text[at:], text[at - 1] if at else 10, True
+
+
+def passages(texts: list[bytes], before: int = 10, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all passages, passages of each text). A text without words is one passage.
+
+    A line break stands before and after each text; a slice has another byte ``before`` it, and only the last one ``ends``.
+    """
+    joined = b"\n".join(texts) + (b"\n" if ends else b"")
     data = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    sizes[-1] -= not ends
     begins = np.cumsum(sizes) - sizes
     space = _SPACE[data]
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
+    after_space = np.concatenate([[True], space[:-1]])
+    starts = np.flatnonzero(~space & after_space)
+    stops = np.flatnonzero(space & ~after_space)
     owner = np.searchsorted(begins, starts, side="right") - 1
     first = np.searchsorted(starts, begins)
     rank = np.arange(len(starts)) - first[owner]
@@ -104,20 +124,21 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.append(cut, len(data)))
     kinds = np.bincount(np.repeat(np.arange(n) * CLASSES, lengths) + _ASCII[data], minlength=n * CLASSES).reshape(n, CLASSES)
     rough = _COARSE[data]
-    left = np.concatenate([_COARSE[[10]], rough[:-1]])  # a line break stands before each text, the first too
+    left = np.concatenate([_COARSE[[before]], rough[:-1]])
     at_pair = np.repeat(np.arange(n) * (ROUGH * ROUGH), lengths)
     pairs = np.bincount(at_pair + (left * ROUGH + rough), minlength=n * ROUGH * ROUGH).reshape(n, -1)
     in_passage = np.searchsorted(cut, starts, side="right") - 1
     words = np.bincount(in_passage, minlength=n)
-    hashes = _word_hashes(data, starts, ends)
+    hashes = _word_hashes(data, starts, stops)
     same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (in_passage[1:] == in_passage[:-1]))
-    double = hashes[:-1] * np.uint64(3) + hashes[1:] if len(hashes) > 1 else hashes[:0]
+    inside = np.flatnonzero(in_passage[1:] == in_passage[:-1])
+    double = hashes[inside] * np.uint64(3) + hashes[inside + 1]
     per_word = np.maximum(words, 1)
     more = np.stack(
         [
             np.bincount(in_passage[same], minlength=n) / per_word,
             _repeats(in_passage, hashes, n) / per_word,
-            _repeats(in_passage[: len(double)], double, n) / per_word,
+            _repeats(in_passage[inside], double, n) / per_word,
             np.log1p(words),
             lengths / per_word / 8,
         ],
@@ -155,6 +176,18 @@ class Model:
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return self.forward((x - self.mean) / self.scale, counts)["score"]
 
+    def score_long(self, text: bytes) -> float:
+        """The score of one text, slice by slice: the sums of the attention are rescaled as a larger energy comes."""
+        top, total, bag = -np.inf, 0.0, np.zeros(len(self.out))
+        for piece, before, last in slices(text):
+            x = (passages([piece], before, last)[0] - self.mean) / self.scale
+            hidden = np.tanh(x @ self.encode + self.encode_bias)
+            energy = (np.tanh(hidden @ self.attend) / (1 + np.exp(-hidden @ self.gate))) @ self.weigh
+            now = max(top, energy.max())
+            kept, weight = np.exp(top - now), np.exp(energy - now)
+            top, total, bag = now, total * kept + weight.sum(), bag * kept + weight @ hidden
+        return float(1 / (1 + np.exp(-np.clip(bag / total @ self.out + self.out_bias[0], -30, 30))))
+
     def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         f = self.forward(x, counts)
         error = (f["score"] - y) * w / len(y)
@@ -183,14 +216,14 @@ def train(rows: list[tuple[str, int, float]], seed: int = 7) -> Model | None:
         return None
     bags = []
     for text, _, _ in rows:
-        x, _ = passages([text.encode("utf-8", "replace")])
-        bags.append(x[np.unique(np.linspace(0, len(x) - 1, MOST_PASSAGES).astype(int))] if len(x) > MOST_PASSAGES else x)
+        bags.append(np.concatenate([passages([piece], before, last)[0] for piece, before, last in slices(text.encode("utf-8", "replace"))]))
     y = np.array([y for _, y, _ in rows], dtype=np.float64)
     w = np.array([w for _, _, w in rows])
     w /= w.mean()
-    everything = np.concatenate(bags).astype(np.float64)
-    mean, scale = everything.mean(axis=0), everything.std(axis=0) + 0.01
-    bags = [(x - mean) / scale for x in bags]
+    n = sum(len(x) for x in bags)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in bags) / n
+    scale = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x in bags) / n) + 0.01
+    bags = [((x - mean) / scale).astype(np.float32) for x in bags]
     random = np.random.default_rng(seed)
 
     def weights(*shape: int) -> np.ndarray:
@@ -235,7 +268,12 @@ def _scores(batch: pa.RecordBatch, column: int, model: Model | None) -> np.ndarr
     for at in range(0, batch.num_rows, 256):
         texts = [t.as_py() or b"" for t in batch.column(column).slice(at, 256).cast(pa.binary())]
         for group in _groups(texts):
-            found.append(np.full(len(group), 0.5) if model is None else model.score(*passages(group)))
+            if model is None:
+                found.append(np.full(len(group), 0.5))
+            elif len(group[0]) > SLICE:
+                found.append(np.array([model.score_long(group[0])]))
+            else:
+                found.append(model.score(*passages(group)))
     return np.concatenate(found)
 
 
