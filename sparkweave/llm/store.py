@@ -3,14 +3,16 @@
 A document's id stream is cut where a rolling hash of its last ids says so, so
 equal runs of ids give equal chunks wherever they stand. A chunk is stored once
 under the digest of its bytes; a recipe lists the addresses of a document's
-chunks. Three tables make a store::
+chunks. Four tables make a store::
 
     chunks/    address, n_ids, payload     payload: ids, little-endian, ``width`` bytes each
     recipes/   doc_id, start, n_tokens, root, addresses (joined), by ascending doc_id
     manifest/  part, root, n_docs, n_tokens, width
+    top/       root, n_docs, n_tokens: one row
 
-Roots are Merkle roots: of a document over its chunks, of a manifest part over
-the roots of its documents in order.
+Roots are Merkle roots: of a document over its chunks, of a manifest part over its
+documents in order (each with its number, id, start, number of ids and root), and
+of the store over the parts, level by level.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave.llm.tokens import encoder
 from sparkweave.operators.scan import prefix_scan
-from sparkweave.storage import materialize, new_path
+from sparkweave.storage import discard, materialize, new_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -155,7 +157,10 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     numbered = prefix_scan(recipes.withColumn("one", F.lit(1)), ["doc_id", "root", "n_tokens"], sums).drop("one")
     ordered = numbered.repartitionByRange("number").sortWithinPartitions("number")
     ordered.select("doc_id", "start", "n_tokens", "root", "addresses", "number").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(docs.sparkSession.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
+    spark = docs.sparkSession
+    _manifest(spark.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
+    _top(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
+    discard(both)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -163,13 +168,34 @@ def _roots(lists):
     return lists.map(lambda leaves: merkle_root([bytes(x) for x in leaves]))
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    parts = recipes.groupBy(F.expr(f"number div {PART}").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("number", "root"))).alias("leaves"),
-        F.count("*").alias("n_docs"),
+def _leaf(*columns: str) -> Column:
+    """A digest of a row's values, nulls told from all others."""
+    values = [F.coalesce(F.concat(F.lit("v"), F.hex(c) if c in ("root", "addresses") else F.col(c).cast("string")), F.lit("n")) for c in columns]
+    return F.unhex(F.sha2(F.concat_ws("\x1f", *values), 256))
+
+
+def _level(rows: DataFrame, place: str, leaf: Column, docs: Column) -> DataFrame:
+    parts = rows.groupBy(F.expr(f"{place} div {PART}").alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(place).alias("place"), leaf.alias("leaf")))).alias("leaves"),  # PART at most
+        docs.alias("n_docs"),
         F.sum("n_tokens").alias("n_tokens"),
     )
-    return parts.select("part", _roots(F.transform("leaves", lambda x: x["root"])).alias("root"), "n_docs", "n_tokens")
+    return parts.select("part", _roots(F.transform("leaves", lambda x: x["leaf"])).alias("root"), "n_docs", "n_tokens")
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    return _level(recipes, "number", _leaf("number", "doc_id", "start", "n_tokens", "root", "addresses"), F.count("*"))
+
+
+def _top(manifest: DataFrame) -> DataFrame:
+    """(root, n_docs, n_tokens) of the whole store."""
+    last = manifest.agg(F.max("part")).first()[0]
+    level = manifest.select("part", "root", "n_docs", "n_tokens")
+    once = True
+    while once or last:
+        level = _level(level, "part", _leaf("part", "root", "n_docs", "n_tokens"), F.sum("n_docs"))
+        last, once = (last or 0) // PART, False
+    return level.select("root", "n_docs", "n_tokens")
 
 
 def _crc_shift() -> np.ndarray:
@@ -251,15 +277,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files, verified.
 
-    Every chunk is read once and hashed against its address; its bytes don't
-    move: a document's crc32 follows from those of its chunks. Recipes whose
+    Verified means: every chunk is read once and hashed against its address, a
+    document's length and root follow again from its chunks, and all that recipes
+    say is under the store's root. Ids aren't put together for that (``reconstruct``
+    does): a document's crc32 is combined from those of its chunks. Recipes whose
     chunks are missing, or whose length, root or manifest differ, stop the job.
     """
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
     first = manifest.select("width").first()
-    if first is None:
+    if first is None and spark.read.parquet(f"{path}/top").isEmpty():
         return recipes.select("doc_id", "start", "n_tokens", F.lit(0).cast("long").alias("ids_crc32"))
-    chunks = _checked_chunks(spark.read.parquet(f"{path}/chunks"), first["width"])
+    chunks = _checked_chunks(spark.read.parquet(f"{path}/chunks"), first["width"] if first else 4)
     wrong = (
         _manifest(recipes)
         .withColumnsRenamed({"root": "r", "n_docs": "d", "n_tokens": "t"})
@@ -268,6 +296,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     )
     if not wrong.isEmpty():
         raise ValueError("the manifest doesn't fit the recipes")
+    if _top(manifest).collect() != spark.read.parquet(f"{path}/top").collect():
+        raise ValueError("the manifest isn't the one that the store's root is of")
     listed = recipes.select(
         "number",
         F.posexplode(
