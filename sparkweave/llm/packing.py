@@ -26,8 +26,8 @@ from sparkweave.storage import materialize
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
-#: Rows of equal length are numbered in so many parts.
-SHARDS = 64
+#: Rows of equal length are numbered in at least so many parts, and in so many that a part has about so many rows.
+SHARDS, SHARD_ROWS = 64, 1_000_000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
@@ -139,16 +139,17 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (materialized pieces) with sequence_id and offset.
 
     Only the counts of lengths, ``capacity`` numbers at most, reach the driver.
-    Pieces of one length are numbered in ``SHARDS`` parts by hash, so a length
-    that a third of all pieces share is no single task's work.
+    Pieces of one length are numbered in parts by hash, more parts where there are
+    more pieces, so a length that a third of all pieces share is no single task's work.
     """
     spark = cut.sparkSession
     counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(SHARDS, max(counted.values(), default=0) // SHARD_ROWS)
     slots = _slots(plan(counted, capacity))
     fields = ["length", "low", "high", "each", "sequence", "at"]
     table = spark.createDataFrame(slots, ", ".join(f"{f} long" for f in fields))
     keys = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    rows = cut.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(SHARDS)))
+    rows = cut.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(parts)))
     shards = rows.groupBy("length", "shard").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("length", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
@@ -159,7 +160,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("rank", F.col("base") + F.col("inside"))
         .drop("shard", "base", "inside")
     )
-    # A slot is found by its length and the last bound at or below the rank: bounds of a length are an array in one row.
+    # A length's slots are an array in one row, of which the one that holds the rank is taken.
     bounds = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "each", "sequence", "at"))).alias("slots"))
     found = ranked.join(F.broadcast(bounds), "length")  # a row for each of at most `capacity` lengths
     slot = F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"]))[0]

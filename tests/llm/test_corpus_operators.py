@@ -303,6 +303,21 @@ def test_passages_don_t_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-6)
 
 
+def test_long_texts_are_scored_in_slices(monkeypatch):
+    rng = random.Random(11)
+    rows = [(t, q, 1.0) for _, t, q, _ in _corpus(rng, 80)]
+    model = quality.train(rows)
+    texts = [t.encode() for t, _, _ in rows[:3]] + [b" ".join(t.encode() for t, _, _ in rows), b"  \n x " * 900, b"y" * 5000 + b" z" * 400, b" " * 3000]
+    monkeypatch.setattr(quality, "SLICE", 700)
+    for text in texts:
+        pieces = list(quality.slices(text))
+        assert b"".join(p for p, _, _ in pieces) == text and [e for *_, e in pieces] == [False] * (len(pieces) - 1) + [True]
+        x = np.concatenate([quality.passages([p], before, last)[0] for p, before, last in pieces])
+        assert np.allclose(x, quality.passages([text])[0], atol=1e-6)
+        assert model.score_long(text) == pytest.approx(model.score(*quality.passages([text]))[0], abs=1e-9)
+    assert len(list(quality.slices(texts[3]))) > 10
+
+
 @needs_data
 def test_pipeline(spark, duck):
     """Stage by stage: what each keeps is what its operator says of its own input."""

@@ -281,6 +281,22 @@ def test_damaged_store(spark):
         spark.createDataFrame(table[:-1], schema).write.parquet(f"{path}/{part}")
         with pytest.raises(Exception, match="rebuilt|manifest"):
             store.read_store(spark, path).collect()
+    whole = new_path(spark, "store")
+    store.write_store(frame, whole)
+    kept = {part: (spark.read.parquet(f"{whole}/{part}").collect(), spark.read.parquet(f"{whole}/{part}").schema) for part in ("chunks", "recipes", "manifest", "top")}
+    tampered = {
+        "ids swapped": {"recipes": lambda r: r | {"doc_id": 3 - r["doc_id"]}},
+        "starts moved": {"recipes": lambda r: r | {"start": r["start"] + 100}},
+        "a part gone from both": {"recipes": None, "manifest": None},
+    }
+    for changes in tampered.values():
+        path = new_path(spark, "store")
+        for part, (rows, schema) in kept.items():
+            change = changes.get(part, lambda r: r)
+            rows = [tuple(change(r.asDict())[f] for f in schema.names) for r in rows] if change else []
+            spark.createDataFrame(rows, schema).write.parquet(f"{path}/{part}")
+        with pytest.raises(Exception, match="manifest"):
+            store.read_store(spark, path).collect()
     path = new_path(spark, "store")
     store.write_store(frame, path)
     bad = spark.read.parquet(f"{path}/chunks").withColumn("payload", F.concat("payload", F.lit(b"\x01\x00"))).collect()
