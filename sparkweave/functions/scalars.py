@@ -22,7 +22,7 @@ def log2_up(x: Column) -> Column:
 
 
 # The rounds of the 32-bit mix (constant, how it is put in, how the shifted word is put in, shift; left is positive).
-_MIX = [
+MIX = [
     (0x7ED55D16, "add", "add", 12),
     (0xC761C23C, "xor", "xor", -19),
     (0x165667B1, "add", "add", 5),
@@ -52,7 +52,7 @@ def hash32(x: Column) -> Column:
         return mixed
 
     out = F.array(_cut(x.cast("long")))
-    for step in _MIX:
+    for step in MIX:
         out = F.transform(out, round_of(*step))
     return out[0]
 

@@ -331,19 +331,12 @@ def _window(frame: str, order: str = "") -> str:
 
 
 def _mix(x: str) -> str:
-    out = f"({x} & 4294967295)"
-    rounds = [
-        ("(({v} + 2127912214) & 4294967295) + (({v} << 12) & 4294967295)", True),
-        ("xor(xor({v}, 3345072700), {v} >> 19)", False),
-        ("(({v} + 374761393) & 4294967295) + (({v} << 5) & 4294967295)", True),
-        ("xor(({v} + 3550635116) & 4294967295, ({v} << 9) & 4294967295)", False),
-        ("(({v} + 4251993797) & 4294967295) + (({v} << 3) & 4294967295)", True),
-        ("xor(xor({v}, 3042594569), {v} >> 16)", False),
-    ]
-    query = f"SELECT p_partkey AS id, {out} AS v FROM part"
-    for expression, cut in rounds:
-        e = expression.format(v="v")
-        query = f"SELECT id, {f'({e}) & 4294967295' if cut else e} AS v FROM ({query})"
+    query = f"SELECT p_partkey AS id, ({x} & 4294967295) AS v FROM part"
+    for constant, put_in, put_shifted, by in scalars.MIX:
+        first = f"((v + {constant}) & 4294967295)" if put_in == "add" else f"xor(v, {constant})"
+        shifted = f"((v << {by}) & 4294967295)" if by > 0 else f"(v >> {-by})"
+        e = f"(({first} + {shifted}) & 4294967295)" if put_shifted == "add" else f"xor({first}, {shifted})"
+        query = f"SELECT id, {e} AS v FROM ({query})"
     return query
 
 
