@@ -42,7 +42,7 @@ def uniform_graph(spark: SparkSession, n: int, m: int, weighted: bool = False, n
 
 
 def rmat_graph(spark: SparkSession, n: int, m: int, seed: int = 0, chances: tuple[float, float, float, float] = RMAT, symmetric: bool = True) -> Graph:
-    """m power-law edges among n vertices: each level of halving picks a quadrant; ends beyond n are folded back. Symmetric graphs have each both ways."""
+    """m power-law edges among n vertices: each level of halving picks a quadrant. The halved square is scaled down to n, so an id has one or two of its cells. Symmetric graphs have each both ways."""
     levels = max(1, (n - 1).bit_length())
     a, b, c, _ = chances
     src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -51,7 +51,11 @@ def rmat_graph(spark: SparkSession, n: int, m: int, seed: int = 0, chances: tupl
         low = F.when(u < a + b, 0).otherwise(1)
         right = F.when((u < a) | ((u >= a + b) & (u < a + b + c)), 0).otherwise(1)
         src, dst = src * 2 + low, dst * 2 + right
-    edges = spark.range(m).select((src % n).alias("src"), (dst % n).alias("dst"))
+    if 2 * levels < 63:
+        scaled = [F.shiftright(end * n, levels) for end in (src, dst)]
+    else:
+        scaled = [F.floor(end.cast("decimal(38,0)") * n / (1 << levels)).cast("long") for end in (src, dst)]
+    edges = spark.range(m).select(scaled[0].alias("src"), scaled[1].alias("dst"))
     graph = Graph(spark.range(n).select("id"), edges)
     return graph.symmetrize() if symmetric else graph
 

@@ -14,18 +14,49 @@ def new_array(spark: SparkSession, n: int, value) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("idx"), F.lit(value).alias("value"))
 
 
-def reduce(seq: DataFrame, op: str = "sum") -> DataFrame:
-    """One row, ``value``: sum, min or max; null of no rows."""
+#: Values that one task of a general reduction folds at a time.
+CHUNK = 1024
+
+
+def _fold(seq: DataFrame, op: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row, ``value``, by an associative ``op`` that keeps the order: chunks of consecutive places are folded, then what they came to, and so on.
+
+    A chunk has ``CHUNK`` places at most, so no task or row grows with the sequence.
+    """
+    ends = seq.agg(F.min("idx").alias("low"), F.max("idx").alias("high")).first()
+    if ends["low"] is None:
+        return seq.agg(F.max("value").alias("value"))
+    span = ends["high"] - ends["low"] + 1
+    level = seq.select((F.col("idx") - ends["low"]).alias("idx"), "value")
+    while True:
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"])
+        rest = F.slice("all", 2, F.size("all"))
+        chunks = level.groupBy(F.floor(F.col("idx") / CHUNK).cast("long").alias("idx")).agg(inside.alias("all"))
+        level = chunks.select("idx", F.aggregate(rest, F.col("all")[0], lambda a, b: op(a, b)).alias("value"))
+        span = -(-span // CHUNK)
+        if span == 1:
+            return level.select("value")
+
+
+def reduce(seq: DataFrame, op: str | Callable[[Column, Column], Column] = "sum") -> DataFrame:
+    """One row, ``value``; null of no rows. ``op`` is sum, min or max, which pass over nulls, or any associative function of two values, which must give their type and is handed nulls too."""
+    if callable(op):
+        return _fold(seq.select("idx", "value"), op)
     return seq.agg({"sum": F.sum, "min": F.min, "max": F.max}[op]("value").alias("value"))
 
 
-def map_reduce(seq: DataFrame, map_: Callable[[Column], Column], op: str = "sum") -> DataFrame:
+def map_reduce(seq: DataFrame, map_: Callable[[Column], Column], op: str | Callable[[Column, Column], Column] = "sum") -> DataFrame:
     return reduce(seq.select("idx", map_(F.col("value")).alias("value")), op)
 
 
-def max_index(seq: DataFrame) -> DataFrame:
-    """One row, ``idx``: where the largest value stands, the first of them. Null values are never largest."""
-    return seq.where(F.col("value").isNotNull()).agg(F.max_by("idx", F.struct("value", (-F.col("idx")).alias("first"))).alias("idx"))
+def max_index(seq: DataFrame, better: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """One row, ``idx``: where the largest value stands, or the one ``better`` (a strict order: is the first better than the second) than all others; the first of them. Null values are never largest."""
+    known = seq.where(F.col("value").isNotNull())
+    if better is None:
+        return known.agg(F.max_by("idx", F.struct("value", (-F.col("idx")).alias("first"))).alias("idx"))
+    pairs = known.select("idx", F.struct("value", "idx").alias("value"))
+    best = _fold(pairs, lambda a, b: F.when(better(b["value"], a["value"]), b).otherwise(a))
+    return best.select(F.col("value.idx").alias("idx"))
 
 
 def scan(seq: DataFrame, op: str = "sum", inclusive: bool = False, backward: bool = False) -> DataFrame:

@@ -19,7 +19,8 @@ from sparkweave.graph import Graph, rank_of, transpose_violations, with_inf
 from sparkweave.operators import generators, sequence, traversal
 from sparkweave.operators.scan import prefix_scan
 from sparkweave.plans.superstep import VertexProgram, run_vertex_program
-from sparkweave.sources.adjacency import read_adjacency, write_adjacency
+from sparkweave.sources.adjacency import catalog, from_one_side, read_adjacency, write_adjacency, write_one_side
+from sparkweave.sources.edge_lists import FORMATS, EdgeListFormat, read_graph
 from sparkweave.storage import materialize, new_path, table
 
 
@@ -139,10 +140,112 @@ def csr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_adjacency(spark, path, weighted=True).graph.edges
 
 
+def _dense(spark: SparkSession, sf_dir: str, weighted: bool) -> Graph:
+    graph, _ = part_graph(spark, sf_dir).densify()
+    return Graph(graph.vertices, materialize(graph.edges if weighted else graph.edges.drop("weight"), "dense"))
+
+
+def csr_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of the file, read back: the in-side's edges are given as it lists them."""
+    path = new_path(spark, "adjacency")
+    write_adjacency(_dense(spark, sf_dir, False), path)
+    found = read_adjacency(spark, path, validate=True)
+    sides = found.graph.edges.withColumn("side", F.lit("out")).unionByName(found.in_edges.withColumn("side", F.lit("in")))
+    return sides.select("side", "src", "dst")
+
+
+def csr_one_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "one-side")
+    write_one_side(_dense(spark, sf_dir, False).symmetrize(), path)
+    return from_one_side(spark, path).edges
+
+
+def graph_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "graphs")
+    graph = _dense(spark, sf_dir, True)
+    write_adjacency(graph, f"{folder}/directed")
+    write_adjacency(graph.symmetrize(), f"{folder}/both_ways", single_file=True)
+    return catalog(spark, f"{folder}/*")
+
+
+def _edge_list(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part graph's edges written as a collection writes them, with comments, and read as a graph."""
+    form = FORMATS[name]
+    edges = part_edges(spark, sf_dir)
+    first, step = (form.base, 1) if form.dense else (1_000_000_007, 1_000_003)  # sparse ids keep their order
+    ends = [(F.col(end) * step + first).cast("string") for end in ("src", "dst")]
+    more = [(F.col("weight") - 25).cast("string"), F.lit("1289241911.72836")] if form.weighted else []
+    lines = edges.select(F.concat_ws(form.separator, *ends, *more).alias("line"))
+    comments = spark.createDataFrame([("# an edge a line",), ("# source, destination",)], "line string")
+    path = new_path(spark, name)
+    (lines if form.weighted else comments.unionByName(lines)).write.text(path)
+    return read_graph(spark, path, name).edges
+
+
+def shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_edges(spark, sf_dir)).shift(-1).edges
+
+
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _with_all_parts(spark, sf_dir)
+    return spark.createDataFrame([(graph.num_nodes(), graph.num_edges())], "n long, m long")
+
+
 def edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph.from_edges(part_edges(spark, sf_dir)).scan("in")
 
 
+def edge_scan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(part_edges(spark, sf_dir)).scan("out")
+
+
+def weights_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws have no SQL of their own: what is given is how many edges have weights of the range, and whether all of them occur alike."""
+    edges = generators.add_weights(Graph.from_edges(part_edges(spark, sf_dir)), seed=5).edges.select("src", "dst", "weight").distinct()
+    return edges.groupBy("weight").agg(F.count("*").alias("k")).agg(
+        F.sum("k").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"), (F.max("k") < 2 * F.min("k")).alias("even")
+    )
+
+
+def _drawn(graph: Graph) -> DataFrame:
+    """(eighth, k): how many ends of edges lie in each eighth of the ids."""
+    n = graph.num_nodes()
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.groupBy(F.floor(F.col("id") * 8 / n).cast("long").alias("eighth")).agg(F.count("*").alias("k"))
+
+
+def random_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform graph as large as the parts, ten edges a vertex; a tenth of the weights is drawn negative."""
+    n = table(spark, sf_dir, "part").count()
+    graph = generators.uniform_graph(spark, n, 10 * n, weighted=True, negative=0.1, seed=3)
+    ends = _drawn(graph).agg(F.sum("k").alias("ends"), F.count("*").alias("eighths"), (F.max("k") < 1.5 * F.min("k")).alias("even"))
+    signs = F.count_if(F.col("weight") < 0) / F.count("*")
+    weights = graph.edges.agg(F.count("*").alias("m"), F.max(F.abs("weight")).alias("high"), signs.between(0.05, 0.15).alias("signed"))
+    return ends.crossJoin(weights).withColumn("n", F.lit(n).cast("long"))  # one row each
+
+
+def random_rmat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursive-matrix graph as large as the parts: every edge both ways, ids in range, the first eighth of the ids the fullest."""
+    n = table(spark, sf_dir, "part").count()
+    graph = generators.rmat_graph(spark, n, 8 * n, seed=2)
+    graph = Graph(graph.vertices, materialize(graph.edges, "rmat"))
+    lacking = transpose_violations(graph.edges, graph.reverse().edges).count()
+    ends = _drawn(graph).agg(
+        F.sum("k").alias("ends"), F.min("eighth").alias("first"), F.max("eighth").alias("last"), F.max_by("eighth", "k").alias("fullest")
+    )
+    return ends.withColumns({"n": F.lit(n).cast("long"), "lacking": F.lit(lacking).cast("long")})
+
+
+def random_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "part").count()
+    grid = generators.uniform_grid([n, 2 * n], [1.0, 10.0], [0.0, 0.01], 5)
+    return spark.createDataFrame([(g["n"], g["m"], g["negative"], g["seed"]) for g in grid], "n long, m long, negative double, seed long")
+
+
+def new_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.new_array(spark, table(spark, sf_dir, "part").count(), 7)
+
+
 def rank_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = part_graph(spark, sf_dir).densify()[0].vertices
     n = dense.count()
@@ -196,10 +299,19 @@ def map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.map_reduce(cents(spark, sf_dir), lambda v: scalars.absolute(v - 10_000_000), "min")
 
 
+def reduce_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.reduce(cents(spark, sf_dir), lambda a, b: a.bitwiseXOR(b))
+
+
 def max_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.max_index(cents(spark, sf_dir))
 
 
+def best_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the orders whose price has the largest last three digits."""
+    return sequence.max_index(cents(spark, sf_dir), lambda a, b: a % 1000 > b % 1000)
+
+
 def sum_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.sum_flags(cents(spark, sf_dir), F.col("done"))
 
@@ -256,9 +368,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transpose_check": transpose_check,
     "csr_offsets": csr_offsets,
     "csr_roundtrip": csr_roundtrip,
+    "csr_unweighted": csr_unweighted,
+    "csr_one_side": csr_one_side,
+    "graph_catalog": graph_catalog,
+    **{f"edge_list_{name}": partial(_edge_list, name) for name in FORMATS},
+    "shift": shift,
+    "graph_counts": graph_counts,
     "edge_scan": edge_scan,
+    "edge_scan_out": edge_scan_out,
     "rank_partition": rank_partition,
     "weights_deterministic": weights_deterministic,
+    "weights_random": weights_random,
+    "random_uniform": random_uniform,
+    "random_rmat": random_rmat,
+    "random_grid": random_grid,
+    "new_array": new_array,
     "scan_excl": partial(_scan, False, False),
     "scan_incl": partial(_scan, True, False),
     "scan_back": partial(_scan, False, True),
@@ -271,7 +395,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_seq": filter_seq,
     "reduce_sum": reduce_sum,
     "map_reduce": map_reduce,
+    "reduce_general": reduce_general,
     "max_index": max_index,
+    "best_index": best_index,
     "sum_flags": sum_flags,
     "gather": gather,
     "scatter": scatter,
@@ -344,6 +470,16 @@ _NEIGHBORS = """WITH {edges} SELECT {own} AS id, string_agg(CAST({other} AS VARC
   string_agg(CAST(weight AS VARCHAR), ',' ORDER BY {other}, weight) AS weights FROM e GROUP BY {own}"""
 _DEGREE = "WITH {edges}, p AS (SELECT id FROM v UNION SELECT p_partkey FROM part) SELECT p.id, count({end}) AS degree FROM p LEFT JOIN e ON e.{end} = p.id GROUP BY p.id"
 
+
+
+def _listed(form: EdgeListFormat) -> str:
+    """The edges of a format's graph: dense ids are the parts' own, sparse ones are ranked."""
+    weight = ", weight - 25 AS weight" if form.weighted else ""
+    if not form.dense:
+        return f"WITH {_DENSE} SELECT a.k AS src, b.k AS dst{weight} FROM e JOIN dn a ON a.id = e.src JOIN dn b ON b.id = e.dst"
+    return f"WITH {_EDGES} SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e"
+
+
 ORACLE: dict[str, str] = {
     "bfs_levels": _HOPS,
     "bfs_histogram": f"SELECT dist, count(*) AS n FROM ({_HOPS}) GROUP BY dist",
@@ -365,9 +501,21 @@ ORACLE: dict[str, str] = {
     "transpose_check": f"WITH {_EDGES} SELECT DISTINCT src, dst, 'in' AS missing FROM e WHERE dst = src + 1",
     "csr_offsets": f"WITH {_EDGES}, d AS (SELECT id, count(src) AS k FROM v LEFT JOIN e ON src = id GROUP BY id) SELECT id, CAST(coalesce(sum(k) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM d",
     "csr_roundtrip": f"WITH {_DENSE} SELECT a.k AS src, b.k AS dst, weight FROM e JOIN dn a ON a.id = e.src JOIN dn b ON b.id = e.dst",
+    "csr_unweighted": f"WITH {_DENSE} SELECT side, a.k AS src, b.k AS dst FROM (VALUES ('out'), ('in')) s(side), e JOIN dn a ON a.id = e.src JOIN dn b ON b.id = e.dst",
+    "csr_one_side": f"WITH {_DENSE}, k AS (SELECT a.k AS src, b.k AS dst FROM e JOIN dn a ON a.id = e.src JOIN dn b ON b.id = e.dst) SELECT src, dst FROM k UNION ALL SELECT dst, src FROM k",
+    "graph_catalog": f"WITH {_EDGES} SELECT name, (SELECT count(*) FROM v) AS n, times * (SELECT count(*) FROM e) AS m FROM (VALUES ('directed', 1), ('both_ways', 2)) s(name, times)",
+    **{f"edge_list_{name}": _listed(form) for name, form in FORMATS.items()},
+    "shift": f"WITH {_EDGES} SELECT src - 1 AS src, dst - 1 AS dst, weight FROM e",
+    "graph_counts": f"WITH {_EDGES}, p AS (SELECT id FROM v UNION SELECT p_partkey FROM part) SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM e) AS m",
+    "edge_scan_out": f"WITH {_EDGES} SELECT src AS id, dst AS neighbor FROM e",
     "edge_scan": f"WITH {_EDGES} SELECT dst AS id, src AS neighbor FROM e",
     "rank_partition": f"WITH {_DENSE}, n AS (SELECT count(*) AS n FROM dn) SELECT least(k // greatest(n // 7, 1), 6) AS rank, count(*) AS n FROM dn, n GROUP BY 1",
     "weights_deterministic": f"WITH {_EDGES} SELECT src, dst, (src * 31 + dst * 17) % 11 AS weight FROM e",
+    "weights_random": f"WITH {_EDGES} SELECT count(*) AS n, CAST(0 AS BIGINT) AS low, CAST(10 AS BIGINT) AS high, true AS even FROM (SELECT DISTINCT src, dst FROM e)",
+    "random_uniform": "SELECT count(*) AS n, 10 * count(*) AS m, 20 * count(*) AS ends, CAST(8 AS BIGINT) AS eighths, true AS even, CAST(500 AS BIGINT) AS high, true AS signed FROM part",
+    "random_rmat": "SELECT count(*) AS n, 32 * count(*) AS ends, CAST(0 AS BIGINT) AS \"first\", CAST(7 AS BIGINT) AS \"last\", CAST(0 AS BIGINT) AS fullest, CAST(0 AS BIGINT) AS lacking FROM part",
+    "random_grid": "WITH p AS (SELECT count(*) AS n FROM part) SELECT n * s AS n, n * s * r AS m, CAST(g AS DOUBLE) AS negative, CAST(k AS BIGINT) AS seed FROM p, (VALUES (1), (2)) a(s), (VALUES (1), (10)) b(r), (VALUES (0.0), (0.01)) c(g), range(5) t(k)",
+    "new_array": "SELECT idx, 7 AS value FROM (SELECT unnest(range(count(*))) AS idx FROM part)",
     "scan_excl": _window("1 PRECEDING"),
     "scan_incl": _window("CURRENT ROW"),
     "scan_back": _window("1 PRECEDING", "DESC"),
@@ -380,6 +528,8 @@ ORACLE: dict[str, str] = {
     "filter_seq": f"WITH {_SEQ} SELECT idx, value FROM q WHERE value >= 10000000",
     "reduce_sum": f"WITH {_SEQ} SELECT CAST(sum(value) AS BIGINT) AS value FROM q",
     "map_reduce": f"WITH {_SEQ} SELECT min(abs(value - 10000000)) AS value FROM q",
+    "reduce_general": f"WITH {_SEQ} SELECT bit_xor(value) AS value FROM q",
+    "best_index": f"WITH {_SEQ} SELECT idx FROM q ORDER BY value % 1000 DESC, idx LIMIT 1",
     "max_index": f"WITH {_SEQ} SELECT idx FROM q ORDER BY value DESC, idx LIMIT 1",
     "sum_flags": f"WITH {_SEQ} SELECT count(*) AS value FROM q WHERE done",
     "gather": f"WITH {_PROBES} SELECT i % 1000 AS idx, arg_max(value, i) AS value FROM r JOIN a ON a.idx = r.p GROUP BY 1",

@@ -84,10 +84,20 @@ def read_adjacency(spark: SparkSession, path: str, weighted: bool = False, heade
 
 def write_adjacency(graph: Graph, path: str, single_file: bool = False, mode: str = "error") -> None:
     """Write a graph with dense ids from 0; neighbours stand in ascending order (then by weight). A null weight counts as 0."""
+    _write(graph, path, [graph, graph.reverse()], [], single_file, mode)
+
+
+def write_one_side(graph: Graph, path: str, title: str = "AdjacencyGraph", single_file: bool = False, mode: str = "error") -> None:
+    """Write a title, n, m and the out-side alone, as ``from_one_side`` reads them."""
+    _write(graph, path, [graph], [title], single_file, mode)
+
+
+def _write(graph: Graph, path: str, sides: list[Graph], titles: list[str], single_file: bool, mode: str) -> None:
     spark = graph.vertices.sparkSession
-    n, m = graph.num_nodes(), graph.num_edges()
-    rows = spark.createDataFrame([(0, 0, 0, str(n)), (0, 1, 0, str(m))], "section int, a long, b long, line string").withColumn("w", F.lit(0).cast("long"))
-    for section, side in ((1, graph), (3, graph.reverse())):
+    head = [*titles, str(graph.num_nodes()), str(graph.num_edges())]
+    rows = spark.createDataFrame([(0, at, 0, line) for at, line in enumerate(head)], "section int, a long, b long, line string").withColumn("w", F.lit(0).cast("long"))
+    for section, side in enumerate(sides):
+        section = 2 * section + 1
         offsets = side.offsets().select(F.lit(section).alias("section"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("offset").cast("string").alias("line"), F.lit(0).cast("long").alias("w"))
         weight = F.coalesce("weight", F.lit(0)).cast("long") if graph.weighted else F.lit(0).cast("long")
         text = F.concat_ws(" ", F.col("dst").cast("string"), *([weight.cast("string")] if graph.weighted else []))
@@ -111,12 +121,39 @@ def from_one_side(spark: SparkSession, path: str, weighted: bool = False) -> Gra
     return graph
 
 
-def catalog(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(name, n, m) of adjacency files, from their first two numbers."""
+def find(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """Name and path of every file or folder that a glob pattern matches."""
+    glob, files = _files(spark, pattern)
+    return {s.getPath().getName(): s.getPath().toString() for s in files.globStatus(glob) or []}
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The file at ``path``, or those in the folder that hold anything, in name order."""
+    hadoop, files = _files(spark, path)
+    if files.getFileStatus(hadoop).isFile():
+        return [path]
+    inside = [s.getPath() for s in files.listStatus(hadoop) if s.isFile() and s.getLen() > 0]
+    return sorted(p.toString() for p in inside if not p.getName().startswith(("_", ".")))
+
+
+def catalog(spark: SparkSession, paths: dict[str, str] | str) -> DataFrame:
+    """(name, n, m) of adjacency files, from their first two numbers; ``paths`` are names and paths, or a glob pattern.
+
+    Of a folder only the first parts in name order are opened. A file without two numbers is an error.
+    """
     rows = []
-    for name, path in sorted(paths.items()):
+    for name, path in sorted((find(spark, paths) if isinstance(paths, str) else paths).items()):
         numbers: list[int] = []
-        for r in spark.read.text(path).take(2):
-            numbers += [int(x) for x in r["value"].split()]
+        for part in _parts(spark, path):
+            numbers += [int(x) for r in spark.read.text(part).take(2) for x in r["value"].split()[:2]]
+            if len(numbers) >= 2:
+                break
+        if len(numbers) < 2:
+            raise ValueError(f"{path} has no n and m")
         rows.append((name, numbers[0], numbers[1]))
     return spark.createDataFrame(rows, "name string, n long, m long")

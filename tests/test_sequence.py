@@ -55,6 +55,23 @@ def test_reductions(spark, seq, values):
     assert rows(sequence.new_array(spark, 3, 7)) == [(0, 7), (1, 7), (2, 7)]
 
 
+def test_general_reductions(spark, monkeypatch):
+    """Any associative function, in order, over places that lie far apart; chunks of three."""
+    monkeypatch.setattr(sequence, "CHUNK", 3)
+    rng = random.Random(5)
+    places = sorted(rng.sample(range(-40, 1000), 90))
+    words = [(i, rng.choice("abc")) for i in places]
+    text = spark.createDataFrame(words, "idx long, value string").repartition(5)
+    assert sequence.reduce(text, F.concat).first()["value"] == "".join(w for _, w in words)
+    assert sequence.max_index(text, lambda a, b: a > b).first()["idx"] == next(i for i, w in words if w == "c")
+    assert sequence.max_index(text, lambda a, b: a < b).first()["idx"] == next(i for i, w in words if w == "a")
+    none = text.where("idx > 5000")
+    assert sequence.reduce(none, F.concat).collect() == [(None,)] and sequence.max_index(none, lambda a, b: a > b).collect() == [(None,)]
+    holes = spark.createDataFrame([(1, None), (2, 5), (3, None)], "idx long, value long")
+    assert sequence.reduce(holes, lambda a, b: F.coalesce(b, a)).first()["value"] == 5
+    assert sequence.max_index(holes, lambda a, b: a > b).first()["idx"] == 2
+
+
 def test_gather_and_scatter(spark, seq, values):
     a = dict(values)
     rng = random.Random(3)

@@ -4,10 +4,11 @@ import gzip
 
 import pytest
 
+from sparkweave.__main__ import ALGORITHMS, main, mean_seconds
 from sparkweave.config import load_settings
 from sparkweave.functions.results import mean_results, merge_json, select_results
 from sparkweave.graph import Graph
-from sparkweave.sources.adjacency import catalog, from_one_side, read_adjacency, write_adjacency
+from sparkweave.sources.adjacency import catalog, from_one_side, read_adjacency, write_adjacency, write_one_side
 from sparkweave.sources.edge_lists import ingest, read_graph
 
 TOY = "4\n8\n0\n2\n4\n6\n1\n2\n2\n3\n3\n0\n0\n1\n0\n2\n4\n6\n2\n3\n0\n3\n0\n1\n1\n2\n"
@@ -27,6 +28,34 @@ def test_read_toy(spark, tmp_path):
     assert [tuple(r) for r in catalog(spark, {"toy": str(tmp_path / "toy.txt")}).collect()] == [("toy", 4, 8)]
 
 
+def test_catalog_of_folders(spark, tmp_path):
+    """A folder's first part in name order has n and m, however long the others are."""
+    for name, parts in {"split": ["3\n", "", "1\n" + "0\n" * 50], "one": ["4 8 0 2"]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "_SUCCESS").write_text("")
+        for i, text in enumerate(parts):
+            (tmp_path / name / f"part-{i}").write_text(text)
+    assert [tuple(r) for r in catalog(spark, f"{tmp_path}/*").collect()] == [("one", 4, 8), ("split", 3, 1)]
+    assert catalog(spark, f"{tmp_path}/none*").count() == 0
+    (tmp_path / "empty").write_text("")
+    with pytest.raises(ValueError, match="no n and m"):
+        catalog(spark, {"empty": str(tmp_path / "empty")})
+
+
+@pytest.mark.parametrize("algorithm", sorted(ALGORITHMS))
+def test_entry_point(spark, tmp_path, algorithm):
+    rows = [(0, 1, 2), (1, 2, 3), (2, 0, 1)]
+    graph = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long, weight long"))
+    path = str(tmp_path / "g")
+    write_adjacency(graph if ALGORITHMS[algorithm][0] else Graph(graph.vertices, graph.edges.drop("weight")), path)
+    assert mean_seconds(spark, algorithm, path, runs=1) > 0
+
+
+def test_entry_point_usage():
+    with pytest.raises(SystemExit):
+        main(["walk", "file"])
+
+
 def test_malformed(spark, tmp_path):
     for name, text in (("short", "4 8 0 2"), ("fall", "2 2 1 0 0 1 0 1 0 1"), ("differ", "3 1 0 1 1 1 0 0 0 0"), ("none", "")):
         (tmp_path / name).write_text(text)
@@ -55,6 +84,8 @@ def test_empty_graph(spark, tmp_path):
 def test_one_sided(spark, tmp_path):
     (tmp_path / "sym.txt").write_text("AdjacencyGraph\n2\n2\n0\n1\n1\n0\n")
     assert edges(from_one_side(spark, str(tmp_path / "sym.txt"))) == [(0, 1), (1, 0)]
+    write_one_side(from_one_side(spark, str(tmp_path / "sym.txt")), str(tmp_path / "again"))
+    assert edges(from_one_side(spark, str(tmp_path / "again"))) == [(0, 1), (1, 0)]
     (tmp_path / "asym.txt").write_text("AdjacencyGraph\n2\n1\n0\n1\n1\n")
     with pytest.raises(ValueError, match="symmetric"):
         from_one_side(spark, str(tmp_path / "asym.txt"))
