@@ -30,6 +30,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def _observed(seen: Observation, stored: DataFrame, metrics: dict[str, Column]) -> dict:
+    """What ``seen`` saw. Spark takes an observation out of a plan that turns out to have no rows; then the metrics are those of what is ``stored``."""
+    if seen._jo.getRow().length():
+        return seen.get
+    return stored.agg(*(c.alias(k) for k, c in metrics.items())).first().asDict()
+
+
 def materialize(df: DataFrame, label: str, metrics: dict[str, Column] | None = None, seen: dict | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,7 +53,7 @@ def materialize(df: DataFrame, label: str, metrics: dict[str, Column] | None = N
     stored = spark.read.schema(df.schema).parquet(path)
     _STORED[id(stored)] = (stored, path, None)
     if metrics:
-        seen.update(values.get)
+        seen.update(_observed(values, stored, metrics))
     return stored
 
 
@@ -60,7 +67,7 @@ def checkpointed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame,
     stored = df.observe(seen, *(c.alias(k) for k, c in metrics.items())).checkpoint()
     path = stored._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
     _STORED[id(stored)] = (stored, path, None)
-    return stored, seen.get
+    return stored, _observed(seen, stored, metrics)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -92,7 +99,7 @@ def bucketed(df: DataFrame, key: str, label: str, metrics: dict[str, Column] | N
     dealt.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
     _STORED[id(stored)] = (stored, path, name)
-    return stored, seen.get if metrics else {}
+    return stored, _observed(seen, stored, metrics) if metrics else {}
 
 
 def discard(df: DataFrame) -> None:

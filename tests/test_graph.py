@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkweave import storage
 from sparkweave.functions import scalars
 from sparkweave.graph import INF, Graph, rank_bounds, rank_of, transpose_violations, with_inf
 from sparkweave.operators import generators, traversal
@@ -119,6 +120,17 @@ def test_nulls_and_nothing(spark):
     assert traversal.min_label_propagation(none).values.count() == 0
 
 
+def test_metrics_of_no_rows(spark):
+    """Metrics of frames of which Spark learns only while it runs that they have no rows."""
+    none = spark.range(10).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    metrics = {"rows": F.count("*"), "most": F.max("n")}
+    seen = {}
+    storage.materialize(none.repartition(3, "id"), "none", metrics, seen)
+    found = [seen, storage.checkpointed(none, metrics)[1]]
+    found += [storage.bucketed(none, "id", "none", metrics, placed)[1] for placed in (False, True)]
+    assert found == [{"rows": 0, "most": None}] * 4
+
+
 def _reference_sssp(n, edges, root):
     best = {root: 0}
     for _ in range(n):
