@@ -95,8 +95,8 @@ def _tokenized(docs: DataFrame, tokenizer: str, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 row, count, root, listed, address, payload = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1)):
-                    ids = np.frombuffer(known.encode(text.as_py() or "") + end, "<u4")
+                for i, encoded in enumerate(known.encode_all([text or "" for text in part.column(1).to_pylist()])):
+                    ids = np.frombuffer(encoded + end, "<u4")
                     body = ids.astype(f"<u{width}").tobytes()
                     addresses, last = [], 0
                     for cut in cuts(ids):

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkweave.llm import chat, licenses, linededup, packing, store
+from sparkweave.llm import chat, licenses, linededup, packing, store, tokens
 from sparkweave.llm.tokens import Encoder
 from sparkweave.storage import delete_path, new_path
 
@@ -39,6 +39,36 @@ def test_encoder_equals_library():
                 assert np.frombuffer(mine.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_together_equal_library(monkeypatch):
+    """Texts cut at once have the library's ids, whatever the groups, and the memory is asked once for each distinct piece of a group."""
+    rng = random.Random(9)
+    letters = "''''ssttrreevvllmmddabSLİÉéßſıŊŽ×÷09 \n\t\x0b\x00\x1b.,-_‐‧‰›€"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += ["", " ", "'", "''", "'s", "'l", "'ll", "'r", "'re", "'string'll've", "x'", "é", "€", "1", "東", "\x85 \xa0", "<|endoftext|>", "a <|startoftext|>'s"]
+    texts += ["don't stop, " * 300, "it's 10,000!\n" * 300]
+    rng.shuffle(texts)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        for together in (1, 100, 1 << 22):
+            monkeypatch.setattr(tokens, "TOGETHER", together)
+            mine = Encoder(name)
+            for _ in range(2):  # the second time from memory
+                assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_all(texts)] == want
+    assert mine.encode_all([]) == [] and mine.encode_all(["", " \n"]) == [b"", b""]
+
+    class Asked(tokens._Memory):
+        times = 0
+
+        def __getitem__(self, piece):
+            self.times += 1
+            return super().__getitem__(piece)
+
+    mine.memory = Asked(mine.tokenizer.model)
+    mine.encode_all(["don't stop, Stop " * 50] * 20)
+    assert mine.memory.times == 4  # don, 't, stop and the comma
+
+
 def _automata():
     return licenses.compile_all(licenses.BASE, licenses.TEMPLATES)
 
