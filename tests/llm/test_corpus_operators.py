@@ -134,6 +134,14 @@ def test_query_against_sql(spark, duck, name):
     check(spark, duck, name, QUERIES[name], ORACLE[name])
 
 
+@needs_data
+def test_proximity_query_against_sql(spark, duck):
+    """As ``check``, with the column names quoted: ``at`` is a keyword of DuckDB."""
+    got = QUERIES["benchmark_proximity"](spark, DATA).select("at", "doc_id", "item_id").collect()
+    want = duck.execute(f'SELECT "at", doc_id, item_id FROM ({ORACLE["benchmark_proximity"]})').fetchall()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 @needs_data
 def test_simhash_query(spark, duck):
     rows = duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
